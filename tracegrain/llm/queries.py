@@ -5,13 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, secrets, sharding
+from . import chat_format, decontaminate, near_dedup, secrets, sentencepiece_trie, sharding, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_documents(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of three-word shingles have a Jaccard similarity of 0.85 or more."""
+    found = near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), near_dedup.Banding(words=3, percent=85, rows=6))
+    return found.select(
+        F.col("doc").alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.col("component").alias("component_id"),
+        F.col("doc").eqNullSafe(F.col("component")).alias("kept"),
+    )
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as ids of the public 32k-piece vocabulary, and whether decoding gives it back."""
+    return sentencepiece_trie.encode_documents(_read(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 24 shards by the external shuffle (law ``rows``)."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -58,6 +86,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_sharding": op6_sharding,
     "op7_secret_scan": op7_secret_scan,
     "op8_chat_format": op8_chat_format,
