@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, near_dedup, secrets, sentencepiece_trie, sharding, toxicity
+from . import chat_format, decontaminate, hilbert_ann, html_extract, language_id, near_dedup, secrets, sentencepiece_trie, sharding, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page from its text, markup, address and host."""
+    model = language_id.train(_read(spark, sf_dir, "documents"))
+    return language_id.identify(_read(spark, sf_dir, "pages"), model)
+
+
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract_main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every document."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -80,17 +92,25 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.parse_conversations(chat_format.format_conversations(turns.unionByName(made))))
 
 
+def op9_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found of every hundredth vector."""
+    return hilbert_ann.nearest(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain at least 0.8 of a benchmark item's five-word shingles."""
     return decontaminate.find_contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_html_extract": op2_html_extract,
     "op3_toxicity": op3_toxicity,
     "op4_near_dedup": op4_near_dedup,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_sharding": op6_sharding,
     "op7_secret_scan": op7_secret_scan,
     "op8_chat_format": op8_chat_format,
+    "op9_hilbert_ann": op9_hilbert_ann,
     "op10_decontaminate": op10_decontaminate,
 }
