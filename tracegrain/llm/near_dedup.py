@@ -16,8 +16,10 @@ Links: the graph's components are wanted, not its pairs. In a round every open
 bucket (one that holds more than one component) picks one pivot, and its members
 of other components are compared with that pivot only: linear in the bucket.
 The order of pivots is global and new in each round, so buckets of one group
-pick few pivots. What links is merged, and buckets of one component close. When
-the comparisons still open are few (or after ``rounds``), members outside their
+pick few pivots. What links is merged, and buckets of one component close. After
+the first round, one aggregation counts how many of a node's shingles any other
+component has; nodes for which that is too few for a link leave. When the
+comparisons still open are few (or after ``rounds``), members outside their
 bucket's largest component are compared with all members of other components, so
 each pair that shares a bucket is either in one component or has been compared
 on full sets: no cap, no sampling. Sizes that rule a link out are left out
@@ -42,7 +44,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .workspace import materialize
@@ -54,6 +56,8 @@ _GATHER, _SLICE = 4096, 1 << 20
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: Ids (8 bytes each) that may be broadcast; beyond, joins shuffle.
 BROADCAST_IDS = 2_000_000
+#: Members up to which an open bucket is compared directly in the end, and nodes up to which a shingle is rare.
+CROWD = 48
 _U = np.uint64
 
 
@@ -233,8 +237,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _can_link(n: str, m: str, percent: int):
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+def _can_link(n: str, m: str, c: str, d: str, percent: int) -> Column:
+    """Whether sets of sizes n and m, of which c and d shingles at most are shared, can link."""
+    most = F.least(c, d, n, m)
+    return 100 * most >= percent * (F.col(n) + F.col(m) - most)
 
 
 def near_duplicates(
@@ -268,35 +274,16 @@ def near_duplicates(
     sets = materialize(sets, "sets")
 
     labels = materialize(live.select("node", F.col("node").alias("root")), "labels")
+    # Nothing is known yet of what a node shares with other components: all of it, at most.
+    members = members.withColumn("c", F.col("n"))
     for t in range(rounds):
-        now = members.join(labels, "node")
-        order = F.xxhash64(F.lit(t), "node")
-        pivot = F.min(F.struct(order.alias("o"), "node", "n", "root")).alias("p")
-        buckets = now.groupBy("key").agg(pivot, F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
-        pairs = (
-            now.join(buckets.select("key", "p.node", "p.n", "p.root").toDF("key", "a", "na", "ca"), "key")
-            .where((F.col("ca") != F.col("root")) & _can_link("n", "na", banding.percent))
-            .select("a", F.col("node").alias("b"), "ca", F.col("root").alias("cb"))
-            .distinct()
-        )
-        labels = merge_labels(labels, _verified(pairs, sets, banding.percent))
-        left = _open(members, labels)
-        if left.agg(F.coalesce(F.sum("work"), F.lit(0))).first()[0] <= 4 * count:
+        labels = merge_labels(labels, _verified(_star(members, labels, t, banding.percent), sets, banding.percent))
+        if t == 0:
+            members = materialize(_contested(members, labels, sets, banding.percent), "contested")
+        work = _open(members, labels).agg(F.coalesce(F.sum("work"), F.lit(0))).first()[0]
+        if work <= 4 * count:
             break
-
-    # What no round has settled: members outside the largest component of their bucket, with all others.
-    now = members.join(labels, "node")
-    outside = now.join(_open(members, labels), "key").where("root <> top")
-    pairs = (
-        outside.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ca"))
-        .join(now, "key")
-        .where((F.col("ca") != F.col("root")) & _can_link("n", "na", banding.percent))
-        .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"),
-                F.when(F.col("a") < F.col("node"), F.col("ca")).otherwise(F.col("root")).alias("ca"),
-                F.when(F.col("a") < F.col("node"), F.col("root")).otherwise(F.col("ca")).alias("cb"))
-        .distinct()
-    )
-    labels = merge_labels(labels, _verified(pairs, sets, banding.percent))
+    labels = merge_labels(labels, _verified(_rest(members, labels, sets, banding.percent), sets, banding.percent))
 
     rooted = nodes.select("node", "digest", "doc").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = materialize(rooted.select("digest", "doc", "root"), "rooted")
@@ -307,11 +294,97 @@ def near_duplicates(
     return some.unionByName(none)
 
 
+def _star(members: DataFrame, labels: DataFrame, t: int, percent: int) -> DataFrame:
+    """Round ``t``'s pairs (a, b, ca, cb): each open bucket's pivot with its members of other components."""
+    now = members.join(labels, "node")
+    pivot = F.min(F.struct(F.xxhash64(F.lit(t), "node").alias("o"), "node", "n", "c", "root")).alias("p")
+    buckets = now.groupBy("key").agg(pivot, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    buckets = buckets.select("key", "p.node", "p.n", "p.c", "p.root").toDF("key", "a", "na", "sa", "ca")
+    return (
+        now.join(buckets, "key")
+        .where((F.col("ca") != F.col("root")) & _can_link("n", "na", "c", "sa", percent))
+        .select("a", F.col("node").alias("b"), "ca", F.col("root").alias("cb"))
+        .distinct()
+    )
+
+
+def _contested(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members of open buckets that can still link elsewhere: ``node``, ``n``, ``key``, ``c``.
+
+    ``c`` counts a node's shingles that some other component's contested node
+    has too. Only those can be shared across components, so a node with
+    ``100 * c < percent * n`` has no link left and goes, however many members
+    its buckets have: one aggregation instead of comparisons.
+    """
+    nodes = members.join(_open(members, labels).select("key"), "key", "left_semi").select("node").distinct()
+    nodes = materialize(nodes.join(labels, "node"), "contested-nodes")
+    owned = sets.join(nodes, "node").select("node", "root", F.explode("set").alias("s"))
+    met = owned.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
+    counted = owned.join(met, "s").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
+    return members.drop("c").join(counted, "node").where(100 * F.col("c") >= percent * F.col("n")).select("node", "n", "key", "c")
+
+
+def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All comparisons still open, as pairs (a, b, ca, cb).
+
+    In a bucket of ``CROWD`` members at most: those outside its largest
+    component, with those of other components. In crowded buckets a pair either
+    shares a shingle that ``CROWD`` of their nodes at most have, and is found by
+    it, or shares only common ones; then the count of a node's common shingles
+    bounds what it can share, and few nodes of a group of edited copies have
+    enough of them. Both ways together leave out no pair that links.
+    """
+    now = members.join(labels, "node")
+    opened = _open(members, labels)
+    here = now.join(opened, "key")
+    small = here.where(F.col("m") <= CROWD)
+    pairs = _across(small.where("root <> top"), small, percent)
+
+    crowded = materialize(here.where(F.col("m") > CROWD).select("key", "node", "n", "c", "root", "top"), "crowded")
+    nodes = crowded.select("node", "n", "c", "root").distinct()
+    owned = sets.join(nodes, "node").select("node", "n", "c", "root", F.explode("set").alias("s"))
+    degree = owned.groupBy("s").agg(F.count(F.lit(1)).alias("d"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    degree = degree.where("lo <> hi").select("s", "d")
+    counted = owned.join(degree, "s")
+    common = counted.where(F.col("d") > CROWD).groupBy("node").agg(F.count(F.lit(1)).alias("k"))
+    # What a node can share by common shingles alone must do for the smallest set of its bucket.
+    able = crowded.drop("c").join(common.withColumnRenamed("k", "c"), "node")
+    least = able.groupBy("key").agg(F.min("n").alias("least"))
+    able = able.join(least, "key").where(100 * F.col("c") >= percent * (F.col("n") + F.greatest("least", "c") - F.col("c")))
+    pairs = pairs.unionByName(_across(able.where("root <> top"), able, percent))
+
+    lists = counted.where(F.col("d") <= CROWD).groupBy("s")
+    lists = lists.agg(F.collect_list(F.struct("node", "n", "c", "root")).alias("x"))  # CROWD nodes at most
+    apart = lists.select(F.posexplode("x").alias("i", "p"), "x").select("p", F.explode(F.slice("x", F.col("i") + 2, CROWD)).alias("q"))
+    apart = apart.where(F.col("p.root") != F.col("q.root"))
+    apart = apart.select("p.node", "p.n", "p.c", "p.root", "q.*").toDF("a", "na", "sa", "ca", "node", "n", "c", "root")
+    pairs = pairs.unionByName(_ordered(apart.where(_can_link("n", "na", "c", "sa", percent))))
+    return pairs.distinct()
+
+
+def _across(outside: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket's outside members with its members of other components."""
+    outside = outside.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("sa"), F.col("root").alias("ca"))
+    members = members.select("key", "node", "n", "c", "root")
+    return _ordered(outside.join(members, "key").where((F.col("ca") != F.col("root")) & _can_link("n", "na", "c", "sa", percent)))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs with the smaller node first."""
+    ahead = F.col("a") < F.col("node")
+    return pairs.select(
+        F.least("a", "node").alias("a"),
+        F.greatest("a", "node").alias("b"),
+        F.when(ahead, F.col("ca")).otherwise(F.col("root")).alias("ca"),
+        F.when(ahead, F.col("root")).otherwise(F.col("ca")).alias("cb"),
+    )
+
+
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Buckets of several components: ``key``, their largest component ``top``, comparisons left ``work``."""
     parts = members.join(labels, "node").groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
     whole = parts.groupBy("key").agg(F.sum("k").alias("m"), F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("c"))
-    return whole.where("c > 1").select("key", F.col("top.root").alias("top"), ((F.col("m") - F.col("top.k")) * F.col("m")).alias("work"))
+    return whole.where("c > 1").select("key", "m", F.col("top.root").alias("top"), ((F.col("m") - F.col("top.k")) * F.col("m")).alias("work"))
 
 
 def keep_one(docs: DataFrame, banding: Banding = Banding(words=5, percent=80, rows=5)) -> DataFrame:  # noqa: B008
