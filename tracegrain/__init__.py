@@ -1,0 +1 @@
+"""Mobility analytics and corpus preparation on Spark DataFrames."""
