@@ -86,7 +86,12 @@ def item_coordinates(items: DataFrame, coords: int = 16) -> DataFrame:
     )
 
 
-def find_contaminated(
+def _document_key() -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def verified_pairs(
     docs: DataFrame,
     items: DataFrame,
     doc_id: str = "doc_id",
@@ -96,7 +101,7 @@ def find_contaminated(
     coords: int = 16,
     broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
-    """Pairs ``doc_id``, ``item_id`` with ``item_shingles``, ``shared_shingles``, ``containment``."""
+    """``doc, key, item, text_key, q, n``: documents (by id and text) with the items that they contain."""
     key = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
     items = items.select(F.col(item_id).alias("item"), F.col(text).alias("text"), key.alias("text_key"))
     signature = item_coordinates(items, coords)
@@ -109,7 +114,7 @@ def find_contaminated(
         probe = F.broadcast(probe)
 
     docs = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
-    doc_key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    doc_key = _document_key()
     hashed = docs.select("doc", doc_key.alias("key"), _word_hashes(words(F.col("text"))).alias("_w"))
     # No document smaller than threshold x the smallest item can hold one.
     hashed = hashed.where(100 * F.size("_w") >= threshold_percent * F.lit(least[0]))
@@ -145,7 +150,7 @@ def find_contaminated(
         .agg(F.count_distinct("s").alias("n"))
         .where(100 * F.col("n") >= threshold_percent * F.col("q"))
     )
-    verified = shared.join(
+    return shared.join(
         candidates.select(*[F.col(c).alias(f"_{c}") for c in candidates.columns]),
         F.col("doc").eqNullSafe(F.col("_doc"))
         & (F.col("key") == F.col("_key"))
@@ -153,6 +158,11 @@ def find_contaminated(
         & (F.col("text_key") == F.col("_text_key")),
         "left_semi",
     )
+
+
+def find_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", **options) -> DataFrame:
+    """Pairs ``doc_id``, ``item_id`` with ``item_shingles``, ``shared_shingles``, ``containment``."""
+    verified = verified_pairs(docs, items, doc_id, item_id, **options)
     best = F.max_by(F.struct("q", "n"), F.col("n") / F.col("q"))
     return (
         verified.groupBy("doc", "item")
@@ -165,3 +175,10 @@ def find_contaminated(
             (F.col("_best.n") / F.col("_best.q")).alias("containment"),
         )
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that contain no item; ids may be null."""
+    found = verified_pairs(docs, items).select(F.col("doc").alias("_doc"), F.col("key").alias("_key")).distinct()
+    found = materialize(found, "contaminated")
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (_document_key() == F.col("_key")), "left_anti")
