@@ -57,7 +57,7 @@ _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: Ids (8 bytes each) that may be broadcast; beyond, joins shuffle.
 BROADCAST_IDS = 2_000_000
 #: Members up to which an open bucket is compared directly in the end, and nodes up to which a shingle is rare.
-CROWD = 48
+CROWD, RARE = 12, 32
 _U = np.uint64
 
 
@@ -329,7 +329,7 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
 
     In a bucket of ``CROWD`` members at most: those outside its largest
     component, with those of other components. In crowded buckets a pair either
-    shares a shingle that ``CROWD`` of their nodes at most have, and is found by
+    shares a shingle that ``RARE`` of their nodes at most have, and is found by
     it, or shares only common ones; then the count of a node's common shingles
     bounds what it can share, and few nodes of a group of edited copies have
     enough of them. Both ways together leave out no pair that links.
@@ -338,7 +338,7 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     opened = _open(members, labels)
     here = now.join(opened, "key")
     small = here.where(F.col("m") <= CROWD)
-    pairs = _across(small.where("root <> top"), small, percent)
+    pairs = _across(small, percent)
 
     crowded = materialize(here.where(F.col("m") > CROWD).select("key", "node", "n", "c", "root", "top"), "crowded")
     nodes = crowded.select("node", "n", "c", "root").distinct()
@@ -346,27 +346,34 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     degree = owned.groupBy("s").agg(F.count(F.lit(1)).alias("d"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     degree = degree.where("lo <> hi").select("s", "d")
     counted = owned.join(degree, "s")
-    common = counted.where(F.col("d") > CROWD).groupBy("node").agg(F.count(F.lit(1)).alias("k"))
+    common = counted.where(F.col("d") > RARE).groupBy("node").agg(F.count(F.lit(1)).alias("k"))
     # What a node can share by common shingles alone must do for the smallest set of its bucket.
     able = crowded.drop("c").join(common.withColumnRenamed("k", "c"), "node")
     least = able.groupBy("key").agg(F.min("n").alias("least"))
     able = able.join(least, "key").where(100 * F.col("c") >= percent * (F.col("n") + F.greatest("least", "c") - F.col("c")))
-    pairs = pairs.unionByName(_across(able.where("root <> top"), able, percent))
+    pairs = pairs.unionByName(_across(able, percent))
 
-    lists = counted.where(F.col("d") <= CROWD).groupBy("s")
-    lists = lists.agg(F.collect_list(F.struct("node", "n", "c", "root")).alias("x"))  # CROWD nodes at most
-    apart = lists.select(F.posexplode("x").alias("i", "p"), "x").select("p", F.explode(F.slice("x", F.col("i") + 2, CROWD)).alias("q"))
+    lists = counted.where(F.col("d") <= RARE).groupBy("s")
+    lists = lists.agg(F.collect_list(F.struct("node", "n", "c", "root")).alias("x"))  # RARE nodes at most
+    apart = lists.select(F.posexplode("x").alias("i", "p"), "x").select("p", F.explode(F.slice("x", F.col("i") + 2, RARE)).alias("q"))
     apart = apart.where(F.col("p.root") != F.col("q.root"))
     apart = apart.select("p.node", "p.n", "p.c", "p.root", "q.*").toDF("a", "na", "sa", "ca", "node", "n", "c", "root")
     pairs = pairs.unionByName(_ordered(apart.where(_can_link("n", "na", "c", "sa", percent))))
     return pairs.distinct()
 
 
-def _across(outside: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket's outside members with its members of other components."""
-    outside = outside.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("sa"), F.col("root").alias("ca"))
-    members = members.select("key", "node", "n", "c", "root")
-    return _ordered(outside.join(members, "key").where((F.col("ca") != F.col("root")) & _can_link("n", "na", "c", "sa", percent)))
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of different components that share a bucket, each once.
+
+    One of the two lies outside the bucket's largest component, so only those
+    look for partners; a pair is made in the least of the buckets that it shares.
+    """
+    keys = members.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # a node has a key for each band at most
+    members = members.join(keys, "node").select("key", "node", "n", "c", "root", "top", "keys")
+    outside = members.where("root <> top").select("key", "node", "n", "c", "root", "keys").toDF("key", "a", "na", "sa", "ca", "ka")
+    once = (F.col("root") == F.col("top")) | (F.col("a") < F.col("node"))
+    least = F.array_min(F.array_intersect("ka", "keys")) == F.col("key")
+    return _ordered(outside.join(members, "key").where((F.col("ca") != F.col("root")) & once & _can_link("n", "na", "c", "sa", percent) & least))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
