@@ -31,6 +31,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 #: Words whose ids a worker remembers, and characters that it takes at once.
-_CACHE, _SLICE = 600_000, 1 << 20
+_CACHE, _SLICE = 1_000_000, 1 << 20
 #: Codecs of this worker process, kept from one task to the next.
 _HELD: dict[tuple[str, str], Codec] = {}
 
@@ -59,12 +60,10 @@ class Vocabulary:
     unknown: int
     kind: str
     ids: dict[str, int] = field(init=False)
-    longest: int = field(init=False)
 
     def __post_init__(self) -> None:
         bytes_ = set(self.byte_ids or ())
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in self.special and i not in bytes_}
-        self.longest = max(map(len, self.ids), default=1)
 
     @classmethod
     def load(cls, path: str, kind: str = "bpe") -> Vocabulary:
@@ -103,87 +102,106 @@ class TrieEncoder:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.stable: dict[str, bool] = {}
         self.steps = 0  # positions computed; tests compare it with the words' lengths
-
-    def _joins(self, left: str, right: str) -> bool:
+        # Pieces that merges reach from their own characters, by number; characters without a piece are added later.
+        self.known = {p: i for p, i in vocabulary.ids.items() if vocabulary.kind != "bpe" or merge(p, vocabulary) == [p]}
+        self.names = dict(enumerate(vocabulary.pieces))
+        self.outputs = {i: [i] for i in range(len(vocabulary.pieces))}
+        self.pairs: dict[int, bool] = {}
+        self.longest = max(map(len, self.known), default=1)
+        # Length of the longest piece that ends with three given characters: longer ones need no test.
+        self.reach: dict[str, int] = {}
+        for p in self.known:
+            if len(p) > 2:
+                self.reach[p[-3:]] = max(self.reach.get(p[-3:], 0), len(p))
+
+    def _number(self, character: str) -> int:
+        """Number of a character that has no piece; its output is its bytes or the unknown id."""
+        number = self.known[character] = len(self.names)
+        self.names[number] = character
+        byte_ids = self.vocabulary.byte_ids
+        raw = character.encode("utf-8", "surrogatepass")
+        self.outputs[number] = [byte_ids[b] for b in raw] if byte_ids else [self.vocabulary.unknown]
+        return number
+
+    def _joins(self, left: int, right: int) -> bool:
         """Whether two neighbouring pieces stay as they are."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= _CACHE:
-                self.pairs.clear()
-            known = self.pairs[left, right] = merge(left + right, self.vocabulary) == [left, right]
-        return known
-
-    def _stands(self, piece: str) -> bool:
-        """Whether merges reach a piece from its own characters."""
-        known = self.stable.get(piece)
-        if known is None:
-            known = self.stable[piece] = merge(piece, self.vocabulary) == [piece]
+        pair = [self.names[left], self.names[right]]
+        if len(self.pairs) >= _CACHE:
+            self.pairs.clear()
+        known = self.pairs[left << 24 | right] = merge("".join(pair), self.vocabulary) == pair
         return known
 
-    def segment(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
-        """Depth-first over the trie of the sorted distinct words: each with its pieces."""
+    def segment(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """Depth-first over the trie of the sorted distinct words: each with the numbers of its pieces."""
         unigram = self.vocabulary.kind == "unigram"
-        states: list = [(0.0, "")] if unigram else [""]  # at each position of the current path
+        # At each position of the current path: the last piece and where it begins (and the best sum).
+        pieces, starts, sums = [-1], [0], [0.0]
         before = ""
         for word in sorted(set(words)):
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del states[shared + 1 :]
-            (self._extend_unigram if unigram else self._extend_bpe)(word, states)
+            del pieces[shared + 1 :], starts[shared + 1 :], sums[shared + 1 :]
+            self.steps += len(word) - shared
+            if unigram:
+                self._extend_unigram(word, pieces, starts, sums)
+            else:
+                self._extend_bpe(word, pieces, starts)
             before = word
-            pieces, at = [], len(word)
+            path, at = [], len(word)
             while at:
-                piece = states[at][1] if unigram else states[at]
+                path.append(pieces[at])
+                at = starts[at]
+            path.reverse()
+            yield word, path
+
+    def _extend_bpe(self, word: str, pieces: list[int], starts: list[int]) -> None:
+        get, pair, reach = self.known.get, self.pairs.get, self.reach.get
+        for end in range(len(pieces), len(word) + 1):
+            first = end - reach(word[end - 3 : end], 2) if end > 2 else 0
+            for start in range(first if first > 0 else 0, end):
+                piece = get(word[start:end])
+                if piece is None:
+                    if end - start > 1:
+                        continue
+                    piece = self._number(word[start:end])
+                if start:
+                    left = pieces[start]
+                    joins = pair(left << 24 | piece)
+                    if joins is None:
+                        joins = self._joins(left, piece)
+                    if not joins:
+                        continue
                 pieces.append(piece)
-                at -= len(piece)
-            yield word, pieces[::-1]
-
-    def _extend_bpe(self, word: str, states: list[str]) -> None:
-        ids, longest = self.vocabulary.ids, self.vocabulary.longest
-        for end in range(len(states), len(word) + 1):
-            self.steps += 1
-            for start in range(max(0, end - longest), end):
-                piece = word[start:end]
-                if (end - start == 1 or piece in ids and self._stands(piece)) and (
-                    not start or self._joins(states[start], piece)
-                ):
-                    states.append(piece)
-                    break
-            else:  # no state: cannot be, since the merges always have a result
+                starts.append(start)
+                break
+            else:  # cannot be, since the merges always have a result
                 raise AssertionError(f"no segmentation of {word[:end]!r}")
 
-    def _extend_unigram(self, word: str, states: list[tuple[float, str]]) -> None:
-        ids, scores, longest = self.vocabulary.ids, self.vocabulary.scores, self.vocabulary.longest
-        lost = min(scores) - 10.0
-        for end in range(len(states), len(word) + 1):
-            self.steps += 1
-            best = (states[end - 1][0] + lost, word[end - 1])
-            for start in range(max(0, end - longest), end):
-                known = ids.get(word[start:end])
-                if known is not None and states[start][0] + scores[known] > best[0]:
-                    best = (states[start][0] + scores[known], word[start:end])
-            states.append(best)
+    def _extend_unigram(self, word: str, pieces: list[int], starts: list[int], sums: list[float]) -> None:
+        scores, lost = self.vocabulary.scores, min(self.vocabulary.scores) - 10.0
+        for end in range(len(pieces), len(word) + 1):
+            best = None
+            for start in range(max(0, end - self.longest), end):
+                piece = self.known.get(word[start:end])
+                if piece is None and end - start == 1:
+                    piece = self._number(word[start:end])
+                if piece is not None:
+                    total = sums[start] + (scores[piece] if piece < len(scores) else lost)
+                    if best is None or total > best[0]:
+                        best = (total, piece, start)
+            sums.append(best[0])
+            pieces.append(best[1])
+            starts.append(best[2])
 
     def encode(self, words: list[str]) -> dict[str, list[int]]:
         """Ids of each distinct word."""
-        ids, byte_ids, unknown = self.vocabulary.ids, self.vocabulary.byte_ids, self.vocabulary.unknown
-        found = {}
-        for word, pieces in self.segment(words):
-            out: list[int] = []
-            for piece in pieces:
-                known = ids.get(piece)
-                if known is not None:
-                    out.append(known)
-                elif byte_ids:
-                    out.extend(byte_ids[b] for b in piece.encode("utf-8", "surrogatepass"))
-                else:
-                    out.append(unknown)
-            found[word] = out
-        return found
+        plain, outputs = len(self.vocabulary.pieces), self.outputs
+        return {
+            word: path if max(path, default=0) < plain else [i for p in path for i in outputs[p]]
+            for word, path in self.segment(words)
+        }
 
 
 def marked_words(text: str) -> list[str]:
@@ -222,18 +240,19 @@ class Codec:
         self.used = 0
 
     def _learn(self, new: set[str]) -> None:
-        number = self.number
-        for word, ids in self.encoder.encode(list(new)).items():
-            k = len(number)
-            number[word] = k
-            if k >= len(self.starts):
-                self.starts = np.resize(self.starts, 2 * k)
-                self.lengths = np.resize(self.lengths, 2 * k)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[k], self.lengths[k] = self.used, len(ids)
-            self.used += len(ids)
+        learnt = self.encoder.encode(list(new))
+        first = len(self.number)
+        self.number.update(zip(learnt, range(first, first + len(learnt))))
+        lengths = np.fromiter(map(len, learnt.values()), dtype=np.int64, count=len(learnt))
+        flat = np.fromiter(chain.from_iterable(learnt.values()), dtype=np.int32, count=int(lengths.sum()))
+        while first + len(learnt) > len(self.starts):
+            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.lengths[first : first + len(learnt)] = lengths
+        self.starts[first : first + len(learnt)] = self.used + np.cumsum(lengths) - lengths
+        self.used += len(flat)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, laid end to end, and the number of ids of each."""
@@ -247,8 +266,7 @@ class Codec:
         if new:
             self._learn(new)
         counts = np.array([len(w) for w in words], dtype=np.int64)
-        number = self.number
-        which = np.fromiter((number[x] for w in words for x in w), dtype=np.int64, count=int(counts.sum()))
+        which = np.array(list(map(self.number.__getitem__, chain.from_iterable(words))), dtype=np.int64)
         lengths = self.lengths[which]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
@@ -260,7 +278,7 @@ class Codec:
     def decode(self, ids: np.ndarray) -> str:
         """Text of one sequence of ids."""
         raw = self.raw
-        out = b"".join([raw[i] for i in ids.tolist()])
+        out = b"".join(map(raw.__getitem__, ids.tolist()))
         return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
 
 
