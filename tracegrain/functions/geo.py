@@ -16,7 +16,7 @@ MERCATOR_RADIUS_M = 6_378_137.0
 def _haversine_a(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     dlat, dlon = F.radians(lat2) - F.radians(lat1), F.radians(lon2) - F.radians(lon1)
     a = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon / 2), 2)
-    return F.least(a, F.lit(1.0))
+    return F.when(a > 1, F.lit(1.0)).otherwise(a)  # least() would turn a missing neighbour into 1
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

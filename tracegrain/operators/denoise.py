@@ -34,11 +34,10 @@ def near_towers(pings: DataFrame, towers: DataFrame, radius_m: float = 10.0) ->
     """
     step = math.degrees(radius_m / geo.EARTH_RADIUS_M) * 1.000001
     cell = lambda c: F.floor(F.col(c) / step)
-    around = F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)]))
+    around = lambda c: F.explode(F.sequence(F.floor(F.col(c) / step) - 1, F.floor(F.col(c) / step) + 1))
     t = towers.select(F.col("lat").alias("_tlat"), F.col("lon").alias("_tlon"))
-    t = t.select("*", F.floor(F.col("_tlat") / step).alias("_y"), F.floor(F.col("_tlon") / step).alias("_x"))
-    t = t.select("_tlat", "_tlon", "_x", (F.col("_y") + around).alias("_y"))
-    t = t.select("_tlat", "_tlon", "_y", (F.col("_x") + around).alias("_x"))
+    t = t.select("*", around("_tlat").alias("_y"))
+    t = t.select("*", around("_tlon").alias("_x"))
     p = pings.select("*", cell("lat").alias("_py"), cell("lon").alias("_px"))
     close = geo.planar_radians_m(F.col("lat"), F.col("lon"), F.col("_tlat"), F.col("_tlon")) <= radius_m
     return p.join(t, (F.col("_py") == F.col("_y")) & (F.col("_px") == F.col("_x")) & close, "left_anti").drop("_py", "_px")

@@ -56,10 +56,10 @@ def knn_towers(points: DataFrame, towers: DataFrame, k: int = 3, key: str = "pin
 def nearest_tower(points: DataFrame, towers: DataFrame, most_m: float = 300.0, key: str = "ping_id") -> DataFrame:
     """``points`` with ``tower_id, tower_dist_m, tower_ok``: nearest in Mercator metres within ``most_m``."""
     x, y = geo.mercator_x(F.col("lon")), geo.mercator_y(F.col("lat"))
-    around = F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)]))
+    around = lambda c: F.explode(F.sequence(F.floor(F.col(c) / most_m) - 1, F.floor(F.col(c) / most_m) + 1))
     t = towers.select("tower_id", x.alias("_tx"), y.alias("_ty"))
-    t = t.select("*", (F.floor(F.col("_tx") / most_m) + around).alias("_cx"))
-    t = t.select("*", (F.floor(F.col("_ty") / most_m) + around).alias("_cy"))
+    t = t.select("*", around("_tx").alias("_cx"))
+    t = t.select("*", around("_ty").alias("_cy"))
     p = points.select(key, x.alias("_x"), y.alias("_y"))
     same = (F.floor(F.col("_x") / most_m) == F.col("_cx")) & (F.floor(F.col("_y") / most_m) == F.col("_cy"))
     d = F.sqrt(F.pow(F.col("_x") - F.col("_tx"), 2) + F.pow(F.col("_y") - F.col("_ty"), 2))
