@@ -678,7 +678,7 @@ def heatmap_points(spark, d):
 @entry(
     "trip_segments",
     """SELECT deviceid, CAST(seg AS INTEGER) AS segment, CASE WHEN bool_and(stop) THEN 'Stop' ELSE 'Movement' END AS type, CAST(min(datetime) AS VARCHAR) AS start, CAST(max(datetime) AS VARCHAR) AS "end",
-         CAST(epoch(max(datetime)) - epoch(min(datetime)) AS BIGINT) AS duration_s, CASE WHEN bool_and(stop) THEN round(avg(lat), 4) END AS mean_lat, CASE WHEN bool_and(stop) THEN round(avg(lon), 4) END AS mean_lon,
+         CAST(epoch(max(datetime)) - epoch(min(datetime)) AS BIGINT) AS duration_s, CASE WHEN bool_and(stop) THEN round(avg(lat), 7) END AS mean_lat, CASE WHEN bool_and(stop) THEN round(avg(lon), 7) END AS mean_lon,
          CASE WHEN NOT bool_and(stop) THEN round(coalesce(sum(CASE WHEN first THEN NULL ELSE hav END), 0), 4) END AS distance_m,
          CASE WHEN NOT bool_and(stop) AND max(datetime) > min(datetime) THEN round(coalesce(sum(CASE WHEN first THEN NULL ELSE hav END), 0) / (epoch(max(datetime)) - epoch(min(datetime))), 4) END AS avg_speed_m_s, count(*) AS n_points
        FROM (SELECT *, sum(CASE WHEN first THEN 1 ELSE 0 END) OVER (PARTITION BY day, deviceid ORDER BY datetime, ping_id) AS seg FROM (
@@ -687,7 +687,9 @@ def heatmap_points(spark, d):
 )
 def trip_segments(spark, d):
     p = denoise.sequential_deltas(pings(spark, d)).withColumn("is_stop", F.col("speed_m_s") < 1)
-    return rounded(at_text(stays.segments(p).drop("day"), "start", "end"), 4)
+    s = at_text(stays.segments(p).drop("day"), "start", "end")
+    digits = {"mean_lat": 7, "mean_lon": 7, "distance_m": 4, "avg_speed_m_s": 4}
+    return s.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
 # --- modes and clusters ----------------------------------------------------------------------
