@@ -72,7 +72,10 @@ def item_coordinates(items: DataFrame, coords: int = 16) -> DataFrame:
     hashed = items.select("item", "text_key", _word_hashes(words(F.col("text"))).alias("_w"))
     sets = hashed.select("item", "text_key", F.array_distinct(shingle_hashes(F.col("_w"))).alias("_s")).where(F.size("_s") > 0)
     # The k-th coordinate is the shingle whose k-th hash is the smallest.
-    minima = F.array(*[F.array_min(F.transform(F.col("_s"), lambda x, k=k: F.struct(F.xxhash64(F.lit(k), x).alias("h"), x.alias("x"))))["x"] for k in range(coords)])
+    def minimum(k: int) -> Column:
+        return F.array_min(F.transform("_s", lambda x: F.struct(F.xxhash64(F.lit(k), x).alias("h"), x.alias("x"))))["x"]
+
+    minima = F.array(*[minimum(k) for k in range(coords)])
     small = F.size("_s") <= coords
     drawn = sets.select("item", "text_key", F.size("_s").alias("q"), F.when(small, F.col("_s")).otherwise(F.array_distinct(minima)).alias("_x"))
     return drawn.select(
