@@ -18,20 +18,21 @@ def cover(zones: DataFrame, cell_deg: float = 0.02) -> DataFrame:
     return z.select(*zones.columns, "_cy", F.explode("_xs").alias("_cx"))
 
 
-def assign_zones(pings: DataFrame, zones: DataFrame, cell_deg: float = 0.02, key: str = "ping_id", keep_unmatched: bool = True) -> DataFrame:
+def assign_zones(pings: DataFrame, zones: DataFrame, cell_deg: float = 0.02, keep_unmatched: bool = True) -> DataFrame:
     """Adds ``zone_id``: the first (smallest) zone that strictly contains the ping, null if none.
 
-    Pings meet the zones of their own grid cell only, by an equality join; the
-    exact test runs on those. Ties between zones are settled by a grouped
-    minimum on the pings' key, after the match and not before.
+    The zones of a grid cell are gathered in one array, by rising id, so each
+    ping joins one row at most by equality and tests that cell's zones only.
+    Zones are reference data: Spark broadcasts the cells if their size allows,
+    and no ping is shuffled then; the pings are never grouped.
     """
     z = cover(zones.select("zone_id", "ring"), cell_deg)
-    p = pings.select("*", F.floor(F.col("lat") / cell_deg).alias("_py"), F.floor(F.col("lon") / cell_deg).alias("_px"))
-    inside = (F.col("_py") == F.col("_cy")) & (F.col("_px") == F.col("_cx")) & geo.point_within(F.col("lon"), F.col("lat"), F.col("ring"))
-    joined = p.join(z, inside, "left" if keep_unmatched else "inner").drop("_py", "_px", "_cy", "_cx", "ring")
-    others = [c for c in pings.columns if c != key]
-    firsts = [F.first(c, ignorenulls=False).alias(c) for c in others]
-    return joined.groupBy(key).agg(*firsts, F.min("zone_id").alias("zone_id")).select(*pings.columns, "zone_id")
+    cells = z.groupBy("_cy", "_cx").agg(F.sort_array(F.collect_list(F.struct("zone_id", "ring"))).alias("_zones"))
+    p = pings.select("*", F.floor(F.col("lat") / cell_deg).alias("_cy"), F.floor(F.col("lon") / cell_deg).alias("_cx"))
+    joined = p.join(cells, ["_cy", "_cx"], "left" if keep_unmatched else "inner")
+    hits = F.filter("_zones", lambda z: geo.point_within(F.col("lon"), F.col("lat"), z["ring"]))
+    out = joined.select(*pings.columns, F.get(hits, F.lit(0))["zone_id"].alias("zone_id"))
+    return out if keep_unmatched else out.where(F.col("zone_id").isNotNull())
 
 
 def add_time_bin(pings: DataFrame, minutes: int = 60) -> DataFrame:
