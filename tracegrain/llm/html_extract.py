@@ -180,7 +180,8 @@ def read_blocks(page: str | None) -> list[Block]:
         if name is not None:
             (reader.close(name.lower()) if m["close"] else reader.open(name.lower(), m["attrs"]))
         elif m["gone"] and m["gone"].lower() not in INLINE:
-            reader.flush() if m["gone"].lower() in ("head", "title") else reader.parts.append(" ")
+            if m["gone"].lower() in ("head", "title"):
+                reader.flush()
         elif page.startswith("<![CDATA[", m.start()):
             reader.text(page[m.start() + 9 : m.end() - 3])
     if at < len(page):
