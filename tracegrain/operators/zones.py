@@ -39,19 +39,31 @@ def add_time_bin(pings: DataFrame, minutes: int = 60) -> DataFrame:
     return pings.withColumn("time_bin", time_bin(F.col("datetime"), minutes))
 
 
-def knn_towers(points: DataFrame, towers: DataFrame, k: int = 3, key: str = "ping_id") -> DataFrame:
-    """``key, d1..dk, tower1..towerk``: the k nearest towers by plain Euclid in degrees.
-
-    Towers are reference data of a few thousand rows; each point keeps only its
-    k best in a bounded array while it is compared, so nothing is ranked by a
-    shuffle. The towers travel as one array built by aggregation.
+def knn_towers(points: DataFrame, towers: DataFrame, k: int = 3, key: str = "ping_id", cell_deg: float = 0.01, digits: int | None = None) -> DataFrame:
+    """``key, d1..dk, tower1..towerk``: the k nearest towers by plain Euclid in degrees; ties to the smaller id.
+
+    A point meets the towers of the nine grid cells around it. If its k-th
+    distance there is a cell's width at most, no other tower can be nearer; the
+    rest (far from any tower) is compared with all towers, which travel as one
+    row. Neither way ranks points by a shuffle. ``digits`` rounds distances
+    before they are compared.
     """
-    all_towers = towers.agg(F.sort_array(F.collect_list(F.struct("tower_id", "lat", "lon"))).alias("_t"))
-    p = points.select(key, "lat", "lon").crossJoin(F.broadcast(all_towers))  # one row on the right
-    distance = lambda t: F.sqrt(F.pow(F.col("lat") - t["lat"], 2) + F.pow(F.col("lon") - t["lon"], 2))
-    near = F.slice(F.sort_array(F.transform("_t", lambda t: F.struct(distance(t).alias("d"), t["tower_id"].alias("id")))), 1, k)
-    p = p.select(key, near.alias("_n"))
-    return p.select(key, *[F.get("_n", F.lit(i))["d"].alias(f"d{i + 1}") for i in range(k)], *[F.get("_n", F.lit(i))["id"].alias(f"tower{i + 1}") for i in range(k)])
+    around = lambda c: F.explode(F.sequence(F.floor(F.col(c) / cell_deg) - 1, F.floor(F.col(c) / cell_deg) + 1))
+    tower = F.struct("tower_id", "lat", "lon")
+    t = towers.select("tower_id", "lat", "lon", around("lat").alias("_y"))
+    t = t.select("*", around("lon").alias("_x"))
+    cells = t.groupBy("_y", "_x").agg(F.collect_list(tower).alias("_t"))
+    exact = lambda t: F.sqrt(F.pow(F.col("lat") - t["lat"], 2) + F.pow(F.col("lon") - t["lon"], 2))
+    distance = exact if digits is None else lambda t: F.round(exact(t), digits)
+    nearest = F.slice(F.sort_array(F.transform("_t", lambda t: F.struct(distance(t).alias("d"), t["tower_id"].alias("id")))), 1, k)
+    p = points.select(key, "lat", "lon", F.floor(F.col("lat") / cell_deg).alias("_y"), F.floor(F.col("lon") / cell_deg).alias("_x"))
+    first = p.join(cells, ["_y", "_x"], "left").select(key, "lat", "lon", nearest.alias("_n"))
+    first = first.withColumn("_sure", F.coalesce((F.size("_n") == k) & (F.get("_n", F.lit(k - 1))["d"] <= cell_deg), F.lit(False)))
+    whole = towers.agg(F.collect_list(tower).alias("_t"))
+    again = first.where(~F.col("_sure")).select(key, "lat", "lon").crossJoin(F.broadcast(whole))  # one row on the right
+    found = first.where("_sure").select(key, "_n").unionByName(again.select(key, nearest.alias("_n")))
+    part = lambda name, f: [F.get("_n", F.lit(i))[f].alias(f"{name}{i + 1}") for i in range(k)]
+    return found.select(key, *part("d", "d"), *part("tower", "id"))
 
 
 def nearest_tower(points: DataFrame, towers: DataFrame, most_m: float = 300.0, key: str = "ping_id") -> DataFrame:

@@ -574,11 +574,8 @@ def speed_bins(spark, d):
        FROM deltas JOIN (SELECT ping_id, arg_min(tower_id, (round(sqrt(pow(p.lat - t.lat, 2) + pow(p.lon - t.lon, 2)), 9), tower_id)) AS t FROM pings p CROSS JOIN towers t GROUP BY ping_id) USING (ping_id) GROUP BY t""",
 )
 def tower_zone_stats(spark, d):
-    t = fixtures.towers(spark, d)
-    p = denoise.sequential_deltas(pings(spark, d))
-    distance = F.round(F.sqrt(F.pow(F.col("p.lat") - F.col("t.lat"), 2) + F.pow(F.col("p.lon") - F.col("t.lon"), 2)), 9)
-    near = pings(spark, d).alias("p").crossJoin(F.broadcast(t.alias("t"))).groupBy("ping_id").agg(F.min(F.struct(distance.alias("d"), "tower_id"))["tower_id"].alias("tower1"))
-    return rounded(stats.tower_zone_stats(p.join(near, "ping_id")), 4)
+    near = zones.knn_towers(pings(spark, d), fixtures.towers(spark, d), k=1, digits=9).select("ping_id", "tower1")
+    return rounded(stats.tower_zone_stats(denoise.sequential_deltas(pings(spark, d)).join(near, "ping_id")), 4)
 
 
 @entry("daily_distance", "SELECT deviceid, round(daily_distance_m, 3) AS daily_distance_m, trip_duration_s FROM distance")
