@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
 from . import chat_format, decontaminate, hilbert_ann, html_extract, language_id, near_dedup, secrets, sentencepiece_trie, sharding, toxicity
+from .workspace import prepare
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

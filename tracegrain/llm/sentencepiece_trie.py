@@ -37,9 +37,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .worker_memory import release
+
 MARK = "▁"
-#: Words whose ids a worker remembers, and characters that it takes at once.
-_CACHE, _SLICE = 1_000_000, 1 << 20
+#: Words that a worker remembers in a generation, pairs of pieces that it remembers, and characters that it takes at once.
+_CACHE, _PAIRS, _SLICE = 220_000, 800_000, 1 << 21
 #: Codecs of this worker process, kept from one task to the next.
 _HELD: dict[tuple[str, str], Codec] = {}
 
@@ -109,11 +111,12 @@ class TrieEncoder:
         self.outputs = {i: [i] for i in range(len(vocabulary.pieces))}
         self.pairs: dict[int, bool] = {}
         self.longest = max(map(len, self.known), default=1)
-        # Length of the longest piece that ends with three given characters: longer ones need no test.
-        self.reach: dict[str, int] = {}
+        # Lengths of the pieces that end in three given characters, longest first: no others need a test.
+        ends: dict[str, set[int]] = {}
         for p in self.known:
             if len(p) > 2:
-                self.reach[p[-3:]] = max(self.reach.get(p[-3:], 0), len(p))
+                ends.setdefault(p[-3:], {1, 2}).add(len(p))
+        self.tails = {t: tuple(sorted(n, reverse=True)) for t, n in ends.items()}
 
     def _number(self, character: str) -> int:
         """Number of a character that has no piece; its output is its bytes or the unknown id."""
@@ -124,12 +127,12 @@ class TrieEncoder:
         self.outputs[number] = [byte_ids[b] for b in raw] if byte_ids else [self.vocabulary.unknown]
         return number
 
-    def _joins(self, left: int, right: int) -> bool:
-        """Whether two neighbouring pieces stay as they are."""
-        pair = [self.names[left], self.names[right]]
-        if len(self.pairs) >= _CACHE:
+    def _joins(self, code: int) -> bool:
+        """Whether two neighbouring pieces, numbered ``code >> 24`` and the rest, stay as they are."""
+        pair = [self.names[code >> 24], self.names[code & 0xFFFFFF]]
+        if len(self.pairs) >= _PAIRS:
             self.pairs.clear()
-        known = self.pairs[left << 24 | right] = merge("".join(pair), self.vocabulary) == pair
+        known = self.pairs[code] = merge("".join(pair), self.vocabulary) == pair
         return known
 
     def segment(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
@@ -139,12 +142,15 @@ class TrieEncoder:
         pieces, starts, sums = [-1], [0], [0.0]
         before = ""
         for word in sorted(set(words)):
-            shared, most = 0, min(len(before), len(word))
-            while shared < most and before[shared] == word[shared]:
+            shared = 0
+            for a, b in zip(before, word):
+                if a != b:
+                    break
                 shared += 1
-            del pieces[shared + 1 :], starts[shared + 1 :], sums[shared + 1 :]
+            del pieces[shared + 1 :], starts[shared + 1 :]
             self.steps += len(word) - shared
             if unigram:
+                del sums[shared + 1 :]
                 self._extend_unigram(word, pieces, starts, sums)
             else:
                 self._extend_bpe(word, pieces, starts)
@@ -157,20 +163,22 @@ class TrieEncoder:
             yield word, path
 
     def _extend_bpe(self, word: str, pieces: list[int], starts: list[int]) -> None:
-        get, pair, reach = self.known.get, self.pairs.get, self.reach.get
+        get, pair, tails = self.known.get, self.pairs.get, self.tails.get
         for end in range(len(pieces), len(word) + 1):
-            first = end - reach(word[end - 3 : end], 2) if end > 2 else 0
-            for start in range(first if first > 0 else 0, end):
+            for length in tails(word[end - 3 : end], (2, 1)) if end > 2 else (2, 1):
+                start = end - length
+                if start < 0:
+                    continue
                 piece = get(word[start:end])
                 if piece is None:
-                    if end - start > 1:
+                    if length > 1:
                         continue
                     piece = self._number(word[start:end])
                 if start:
-                    left = pieces[start]
-                    joins = pair(left << 24 | piece)
+                    code = pieces[start] << 24 | piece
+                    joins = pair(code)
                     if joins is None:
-                        joins = self._joins(left, piece)
+                        joins = self._joins(code)
                     if not joins:
                         continue
                 pieces.append(piece)
@@ -204,81 +212,107 @@ class TrieEncoder:
         }
 
 
-def marked_words(text: str) -> list[str]:
-    """The words of a text, each with the marks before it."""
+def text_words(text: str) -> list[str]:
+    """The words of a text without their mark; further marks before a word stand as spaces."""
     if not text:
         return []
-    words, held = [], ""
-    for part in text.replace(MARK, " ").split(" "):
-        held += MARK
+    if MARK in text:
+        text = text.replace(MARK, " ")
+    if "  " not in text and text[0] != " " and text[-1] != " ":
+        return text.split(" ")
+    words, held = [], 0
+    for part in text.split(" "):
         if part:
-            words.append(held + part)
-            held = ""
+            words.append(" " * held + part)
+            held = 0
+        else:
+            held += 1
     if held:
-        words.append(held)
+        words.append(" " * (held - 1))
     return words
 
 
-class Codec:
-    """Encodes and decodes lists of texts, remembering words between calls."""
+def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``flat`` laid end to end, and their lengths."""
+    n = lengths[which]
+    ends = np.cumsum(n)
+    at = np.repeat(starts[which] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+    return flat[at], n
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.encoder = TrieEncoder(vocabulary)
-        raw = [p.replace(MARK, " ").encode("utf-8", "surrogatepass") for p in vocabulary.pieces]
-        for b, i in enumerate(vocabulary.byte_ids or ()):
-            raw[i] = bytes([b])
-        for i in vocabulary.special:
-            raw[i] = b""
-        self.raw = raw
-        self._reset()
 
-    def _reset(self) -> None:
+class _Memory:
+    """Words with their ids, in arrays."""
+
+    def __init__(self) -> None:
         self.number: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, dtype=np.int32)
         self.starts = np.zeros(1 << 12, dtype=np.int64)
         self.lengths = np.zeros(1 << 12, dtype=np.int64)
         self.used = 0
 
-    def _learn(self, new: set[str]) -> None:
-        learnt = self.encoder.encode(list(new))
-        first = len(self.number)
-        self.number.update(zip(learnt, range(first, first + len(learnt))))
-        lengths = np.fromiter(map(len, learnt.values()), dtype=np.int64, count=len(learnt))
-        flat = np.fromiter(chain.from_iterable(learnt.values()), dtype=np.int32, count=int(lengths.sum()))
-        while first + len(learnt) > len(self.starts):
+    def add(self, words: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        first, n = len(self.number), len(words)
+        self.number.update(zip(words, range(first, first + n)))
+        while first + n > len(self.starts):
             self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.flat[self.used : self.used + len(flat)] = flat
-        self.lengths[first : first + len(learnt)] = lengths
-        self.starts[first : first + len(learnt)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[first : first + n] = lengths
+        self.starts[first : first + n] = self.used + np.cumsum(lengths) - lengths
         self.used += len(flat)
 
+
+class Codec:
+    """Encodes and decodes lists of texts, remembering words between calls.
+
+    Words are kept in two generations of ``_CACHE`` words: a full one becomes
+    the old one, and what is met again moves to the new one.
+    """
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.encoder = TrieEncoder(vocabulary)
+        raw = [p.replace(MARK, " ").encode("utf-8", "surrogatepass") for p in vocabulary.pieces]
+        for b, i in enumerate(vocabulary.byte_ids or ()):
+            raw[i] = bytes([b])
+        for i in vocabulary.special:
+            raw[i] = b""
+        self.raw = raw
+        self.young, self.old = _Memory(), _Memory()
+
+    def _learn(self, new: set[str]) -> None:
+        old = self.old.number
+        known = [w for w in new if w in old]
+        if known:
+            self.young.add(known, *_gather(self.old.flat, self.old.starts, self.old.lengths, np.array([old[w] for w in known])))
+            new = new.difference(known)
+        marked = self.encoder.encode([MARK + w.replace(" ", MARK) for w in new])
+        lengths = np.fromiter(map(len, marked.values()), dtype=np.int64, count=len(marked))
+        flat = np.fromiter(chain.from_iterable(marked.values()), dtype=np.int32, count=int(lengths.sum()))
+        self.young.add([w[1:].replace(MARK, " ") for w in marked], flat, lengths)
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, laid end to end, and the number of ids of each."""
-        words = [marked_words(t or "") for t in texts]
-        if len(self.number) > _CACHE:
-            self._reset()
-        new: set[str] = set()
-        for w in words:
-            new.update(w)
-        new.difference_update(self.number)
-        if new:
+        words = [text_words(t or "") for t in texts]
+        if len(self.young.number) > _CACHE:
+            self.young, self.old = _Memory(), self.young
+        young = self.young
+        every = list(chain.from_iterable(words))
+        if new := set(every).difference(young.number):
             self._learn(new)
         counts = np.array([len(w) for w in words], dtype=np.int64)
-        which = np.array(list(map(self.number.__getitem__, chain.from_iterable(words))), dtype=np.int64)
-        lengths = self.lengths[which]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(self.starts[which] - (ends - lengths), lengths) + np.arange(total)
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        sums = np.concatenate([[0], ends])
-        return self.flat[at], np.diff(sums[bounds])
+        which = np.array(list(map(young.number.__getitem__, every)), dtype=np.int64)
+        flat, n = _gather(young.flat, young.starts, young.lengths, which)
+        sums = np.concatenate([[0], np.cumsum(n)])
+        return flat, np.diff(sums[np.concatenate([[0], np.cumsum(counts)])])
+
+    def forget(self) -> None:
+        """Drop the remembered words; pieces and their pairs stay."""
+        self.young, self.old = _Memory(), _Memory()
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of one sequence of ids."""
-        raw = self.raw
-        out = b"".join(map(raw.__getitem__, ids.tolist()))
+        out = b"".join(map(self.raw.__getitem__, ids.tolist()))
         return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
 
 
@@ -317,6 +351,8 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                     [keys.slice(a, b - a), lists, pa.array(counts, pa.int64()), pa.array(same, pa.bool_())],
                     names=[doc_id, "token_ids", "n_tokens", "round_trip"],
                 )
+        codec.forget()
+        release()
 
     key = dict(docs.dtypes)[doc_id]
     return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {key}, token_ids array<int>, n_tokens long, round_trip boolean")

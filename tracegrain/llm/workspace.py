@@ -13,6 +13,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship_package
+
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder; a local one is set only if none is."""
@@ -27,6 +31,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def prepare(spark: SparkSession) -> None:
+    """Ship the package and bound Arrow batches to 8 MB, unless the session sets a bound below Spark's 64 MB.
+
+    Texts differ in length by orders of magnitude; batches of ten thousand rows
+    would differ as much in the memory that a Python worker needs.
+    """
+    ship_package(spark)
+    held = str(spark.conf.get(_BATCH, "67108864b")).rstrip("bB")
+    if not held.isdigit() or int(held) >= 64 << 20:
+        spark.conf.set(_BATCH, "8388608b")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and return the table read back.
 
