@@ -233,6 +233,10 @@ EXAMPLES = (
     "<body><p>{c:64}</p>" + _FOOT,
     "<body>" + _MENU + "<p>{c:26}</p><div>{b:2:2}</div><div>{b:3:3}</div>",
     "<body><article><p>{c:1}</p></article>",
+    "<body>" + _MENU + "<h1>{c:3}</h1><p>{c:50}</p><h2>{c:2}</h2><p>{c:40}</p><p>{c:3}</p><p>{c:38}</p>" + _FOOT,
+    "<body><article><h1>{c:6}</h1><p>{c:33}</p><p>{c:12}</p></article>",
+    "<body>" + _MENU + "<main><p>{c:47}</p><p>{c:3}</p><p>{c:8}</p>",
+    "<body><div class='story'><p>{c:21}</p><p>{c:2}</p></div>",
     "<body><nav>{b:3}</nav><article><p>{c:9}</p></article><footer>{b:2}</footer><aside>{b:9}</aside>",
     "<body><article><p>{c:2}</p><div class='notice'>{b:14}</div></article><div class='comments'>{b:3}</div>",
 )
