@@ -38,6 +38,41 @@ SELECT conv_id, count(*) AS n_turns,
 FROM m GROUP BY conv_id
 """
 
+OP7 = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+p(kind, rank, pattern, part, least) AS (VALUES
+  ('assign', 0, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 12),
+  ('access', 1, 'AKIA[A-Z0-9]+', 0, 18), ('hex', 2, '[0-9a-f]{16,}', 0, 16), ('entropy', 3, '[A-Za-z0-9+/_-]{20,}', 0, 20)),
+m AS (
+  SELECT row, kind, rank, least, regexp_split_to_array(t, pattern) AS b, regexp_extract_all(t, pattern) AS w,
+         CASE part WHEN 2 THEN regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) ELSE regexp_extract_all(t, pattern) END AS g
+  FROM d, p WHERE regexp_matches(t, pattern)
+), u AS (SELECT row, kind, rank, least, unnest(range(1, len(w) + 1)) AS i, b, w, g FROM m),
+s AS (
+  SELECT row, kind, rank, least, w[i] AS w, length(g[i]) AS size,
+         sum(length(b[i]) + length(w[i])) OVER (PARTITION BY row, kind ORDER BY i) AS e
+  FROM u
+), spans AS (SELECT row, kind, rank, w, CAST(e - length(w) AS BIGINT) AS a, CAST(e AS BIGINT) AS e FROM s WHERE size >= least),
+c AS (
+  SELECT r.*, CASE WHEN regexp_matches(w, '^[0-9+/_-]+$') THEN NULL WHEN regexp_matches(w, '^[0-9a-fA-F]+$') THEN 3.01e0 WHEN regexp_matches(w, '^[A-Z0-9]+$') THEN 3.41e0
+         WHEN regexp_matches(w, '[a-z]') AND regexp_matches(w, '[A-Z]') THEN 3.61e0 ELSE 3.71e0 END AS bits
+  FROM spans r WHERE kind = 'entropy' AND regexp_matches(w, '[0-9]')
+    AND NOT EXISTS (SELECT 1 FROM spans x WHERE x.row = r.row AND x.kind <> 'entropy' AND x.a < r.e AND r.a < x.e)
+    AND NOT regexp_matches(w, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$')
+    AND NOT regexp_matches(w, '^/?[A-Za-z]+[0-9]{0,4}(/[A-Za-z_-]*[0-9]{0,8})+$') AND NOT regexp_matches(w, '^[0-9]{4}-[0-9]{2}-[0-9]{2}[A-Za-z0-9_-]*$')
+    AND NOT regexp_matches(w, '^[A-Z0-9]*EXAMPLE(KEY)?$') AND NOT regexp_matches(w, '(?i)^[a-z]+([_-][a-z]+)*[_-]?[0-9]{1,4}$')
+), h AS (
+  SELECT row, a, e, bits, max(list_entropy(string_split(substr(w, i, 20), ''))) AS h
+  FROM (SELECT *, unnest(range(1, length(w) - 18)) AS i FROM c WHERE bits IS NOT NULL) GROUP BY ALL
+), f AS (
+  SELECT row, kind, rank, a, e FROM spans WHERE kind <> 'entropy' UNION ALL SELECT row, 'entropy', 3, a, e FROM h WHERE h >= bits
+)
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, rank) FILTER (kind <> 'entropy'), '')) AS base_sha256,
+       coalesce(string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, rank), '') AS spans, count(*) FILTER (kind = 'entropy') AS n_entropy
+FROM d LEFT JOIN f USING (row) GROUP BY row
+"""
+
 OP10 = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
@@ -52,4 +87,4 @@ FROM ds JOIN bs USING (s) JOIN q USING (item_id)
 GROUP BY doc_id, item_id, q HAVING 100 * count(*) >= 80 * q
 """
 
-ORACLES = {"op4_near_dedup": OP4, "op8_chat_format": OP8, "op10_decontaminate": OP10}
+ORACLES = {"op4_near_dedup": OP4, "op7_secret_scan": OP7, "op8_chat_format": OP8, "op10_decontaminate": OP10}
