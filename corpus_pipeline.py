@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegrain.llm import decontaminate, near_dedup, secrets, sentencepiece_trie, toxicity
-from tracegrain.llm.workspace import materialize
-from tracegrain.session import ship_package
+from tracegrain.llm.workspace import materialize, prepare
 
 #: SQL cannot express the learnt toxicity score or the vocabulary's merges.
 ORACLE_SQL = None
@@ -20,14 +19,14 @@ ORACLE_SQL = None
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.3; the model learns from the labels of rows that are not held out."""
-    ship_package(spark)
+    prepare(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.drop_toxic(docs, model, threshold=0.3)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (of the least id) of each group of five-word shingle similarity 0.8 or more."""
-    ship_package(spark)
+    prepare(spark)
     return near_dedup.keep_one(docs)
 
 
@@ -44,7 +43,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as token ids, and whether decoding gives its text back."""
-    ship_package(spark)
+    prepare(spark)
     return sentencepiece_trie.encode_documents(docs)
 
 
