@@ -47,6 +47,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .worker_memory import release
 from .workspace import materialize
 
 _CIRCLE_BITS = 20
@@ -170,6 +171,7 @@ def sketch(docs: DataFrame, banding: Banding, doc_id: str = "doc_id", text: str
                         "bands": keys,
                     }
                 ).astype({"doc": "Int64"})
+        release()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).mapInPandas(
         run, "doc long, n long, digest binary, bands array<long>"
@@ -189,6 +191,7 @@ def full_sets(docs: DataFrame, banding: Banding) -> DataFrame:
                         "set": [s.astype(np.int64) for s in sets],
                     }
                 )
+        release()
 
     return docs.select("doc", "text").mapInPandas(run, "doc long, digest binary, set array<long>")
 
@@ -196,25 +199,20 @@ def full_sets(docs: DataFrame, banding: Banding) -> DataFrame:
 def merge_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """Labels (node, root) after the edges (a, b) between roots: components by hooking and jumping.
 
-    Every root hooks to its least neighbour if that is smaller; chains are
-    shortened by pointer doubling; edges are contracted, until none is left.
+    Every root hooks to its least neighbour if that is smaller, and follows four
+    such steps by two doublings; edges are contracted, until none is left. A
+    chain that is longer keeps an edge between the places that its parts have
+    come to, so the next turn goes on from there.
     """
     edges = materialize(edges.where("a <> b").distinct(), "edges")
     while not edges.isEmpty():
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min("b").alias("to"))
         up = materialize(up.select(F.col("a").alias("x"), F.least("a", "to").alias("up")), "parents")
-        while True:
-            upper = up.select(F.col("x").alias("up"), F.col("up").alias("upper"))
-            jumped = up.join(upper, "up").select("x", F.col("upper").alias("up"), (F.col("upper") != F.col("up")).alias("moved"))
-            up_next = materialize(jumped, "parents")
-            moved = not up_next.where("moved").isEmpty()
-            up = up_next.select("x", "up")
-            if not moved:
-                break
-        labels = labels.join(up.withColumnRenamed("x", "root"), "root", "left").select(
-            "node", F.coalesce("up", "root").alias("root")
-        )
+        for _ in range(2):
+            up = up.join(up.select(F.col("x").alias("up"), F.col("up").alias("upper")), "up").select("x", F.col("upper").alias("up"))
+        up = materialize(up, "parents")
+        labels = labels.join(up.withColumnRenamed("x", "root"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
         labels = materialize(labels, "labels")
         a = up.select(F.col("x").alias("a"), F.col("up").alias("ra"))
         b = up.select(F.col("x").alias("b"), F.col("up").alias("rb"))
@@ -248,7 +246,7 @@ def near_duplicates(
     banding: Banding = Banding(),  # noqa: B008  frozen
     doc_id: str = "doc_id",
     text: str = "text",
-    rounds: int = 4,
+    rounds: int = 2,
 ) -> DataFrame:
     """``doc``, ``n``, ``component`` (least id reachable) for every row of ``docs``."""
     sketches = materialize(sketch(docs, banding, doc_id, text), "sketches")

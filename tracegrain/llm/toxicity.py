@@ -39,11 +39,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .worker_memory import release
 from .workspace import materialize
 
 _WORD = re.compile(r"\w+")
 #: Words whose terms a worker remembers at most.
-_CACHE = 400_000
+_CACHE = 150_000
 
 
 def hashed(term: str, bits: int) -> int:
@@ -181,6 +182,8 @@ def train(
                 counts[int(toxic > 0), reader(text)] += 1
         at = np.flatnonzero(counts.any(axis=0))
         yield pd.DataFrame({"term": at, "clean": counts[0, at].astype("int64"), "toxic": counts[1, at].astype("int64")})
+        del reader, counts
+        release()
 
     sizes = {bool(r["y"]): r["n"] for r in sample.groupBy((F.col("toxic") > 0).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = max(sizes.get(False, 0), 1), max(sizes.get(True, 0), 1)
@@ -205,7 +208,11 @@ def train(
     rows.sort(key=lambda r: (r["y"], r["x"]))  # the same model whatever order the rows arrive in
     x = [np.array(r["x"], dtype=np.int32) for r in rows]
     y = np.array([r["y"] for r in rows], dtype=float)
-    return ToxicityModel(bits, kept, fit_machine(x, y, len(kept)))
+    del rows
+    model = ToxicityModel(bits, kept, fit_machine(x, y, len(kept)))
+    del x, y
+    release()
+    return model
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -217,6 +224,8 @@ def score_documents(docs: DataFrame, model: ToxicityModel, keys: tuple[str, ...]
         reader = TermReader(known.bits, known.kept)
         for batch in batches:
             yield batch[list(keys)].assign(score=known.scores(batch["text"].tolist(), reader))
+        del reader
+        release()
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", score double"
@@ -233,5 +242,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) ->
         reader = TermReader(known.bits, known.kept)
         for batch in texts:
             yield pd.Series(known.scores(batch.tolist(), reader), dtype=float)
+        del reader
+        release()
 
     return docs.where(score("text") < threshold)
