@@ -41,7 +41,7 @@ from .worker_memory import release
 
 MARK = "▁"
 #: Words that a worker remembers in a generation, pairs of pieces that it remembers, and characters that it takes at once.
-_CACHE, _PAIRS, _SLICE = 220_000, 800_000, 1 << 21
+_CACHE, _PAIRS, _SLICE = 220_000, 800_000, 1 << 20
 #: Codecs of this worker process, kept from one task to the next.
 _HELD: dict[tuple[str, str], Codec] = {}
 
