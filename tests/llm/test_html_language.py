@@ -95,3 +95,12 @@ def test_edges(spark):
     assert language_id.identify(one, none).first().lang is None
     both = language_id.identify(one.union(one), language_id.train(docs(spark))).collect()
     assert len(both) == 2 and both[0] == both[1]
+
+
+def test_a_declaration_far_into_the_page(spark):
+    late = "<!--" + "licence <html lang=de> " * 400 + "-->" + page("", "fr")
+    wide = page("").replace("<html>", f"<html data-x='{'y' * 9000}' lang = \" fr\">")
+    rows = [(i, f"http://{i}.example/", h) for i, h in enumerate((late, wide, page("", "fr"), None))]
+    got = run(spark, rows)
+    assert [got[i].declared for i in range(4)] == ["fr", "fr", "fr", ""]
+    assert [language_id.declared_language(h) for h in ("<html " * 20_000, "<html lang=" + " " * 20_000, "<!--" * 20_000)] == [""] * 3

@@ -40,7 +40,17 @@ from .html_extract import main_text
 from .workspace import materialize
 
 BITS = 16
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.IGNORECASE)
+# Both are linear in the page: a tag is taken once, and its white space is read by one way only.
+_HTML_TAG = re.compile(r"<!--.*?(?:-->|\Z)|(?P<tag><html\b[^>]*)", re.IGNORECASE | re.DOTALL)
+_LANG = re.compile(r"\blang\s*=\s*(?:[\"']\s*)?([A-Za-z]{2,3})", re.IGNORECASE)
+
+
+def declared_language(page: str | None) -> str:
+    """The language of the first html tag that declares one, wherever in the page; '' if none does."""
+    for m in _HTML_TAG.finditer(page or ""):
+        if m["tag"] and (lang := _LANG.search(m["tag"])):
+            return lang[1].lower()
+    return ""
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -106,12 +116,11 @@ def read_pages(pages: DataFrame, model: TextModel) -> DataFrame:
         known = held.value
         for batch in batches:
             texts = [main_text(h) for h in batch["html"]]
-            tags = [_DECLARED.search(h[:4096]) if h else None for h in batch["html"]]
             yield pd.DataFrame(
                 {
                     "page_id": batch["page_id"],
                     "url": batch["url"],
-                    "declared": [m[1].lower() if m else "" for m in tags],
+                    "declared": [declared_language(h) for h in batch["html"]],
                     "loglik": [known.log_likelihood(t) for t in texts],
                     "text_chars": [len(t) for t in texts],
                 }
