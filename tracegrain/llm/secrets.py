@@ -11,8 +11,8 @@ Base kinds (leftmost, non-overlapping, failing matches dropped after matching):
 ``WINDOW`` characters reaches the threshold of the run's character class
 (digits-only runs have none). Counts are kept incrementally: a step of the fold
 adds the entering character and takes out the leaving one, which changes two
-terms of the sum. Allow-listed runs and runs that a base span overlaps are left
-out.
+terms of the sum. Allow-listed runs and runs that base spans cover entirely are
+left out; a run that reaches beyond them is scored whole and added.
 
 Positions are code points; they follow from splitting the text at the matches
 and summing lengths, so a text is scanned in linear time, whole, on the JVM.
@@ -148,6 +148,15 @@ def _with_matches(df: DataFrame, name: str, pattern: str, group: int | None, lea
     return df.select("*", kept.alias(name)).drop("_whole", "_between", "_part", "_lengths", "_sums", "_chunks", "_at")
 
 
+def _covered(run: Column) -> Column:
+    """Whether the spans of ``_base``, sorted by start, together cover all of a run."""
+    overlap = F.exists(F.col("_base"), lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    reached = F.aggregate(
+        F.col("_base"), run["start"], lambda at, b: F.when((b["start"] <= at) & (b["end"] > at), b["end"]).otherwise(at)
+    )
+    return overlap & (reached >= run["end"])
+
+
 def scan_secrets(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with ``secrets``: array of struct(start, rank, kind, end), by start, then kind as listed."""
     if "secrets" in df.columns:
@@ -157,12 +166,11 @@ def scan_secrets(df: DataFrame, text: str = "text") -> DataFrame:
     out = _with_matches(out, "_access", ACCESS, None, 18)
     out = _with_matches(out, "_hex", HEX, None, 16)
     out = _with_matches(out, "_runs", CANDIDATE, None, WINDOW)
-    base = F.concat("_assign", "_access", "_hex")
+    base = F.sort_array(F.concat("_assign", "_access", "_hex"))
     out = out.select("*", base.alias("_base"))
     entropy = F.filter(
         F.col("_runs"),
-        lambda r: ~F.exists(F.col("_base"), lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-        & is_random(r["run"]),
+        lambda r: ~_covered(r) & is_random(r["run"]),
     )
     out = out.select("*", entropy.alias("_entropy"))
     tag = lambda name, rank: F.transform(
