@@ -150,8 +150,13 @@ def _sets(texts: list[str | None], n: int) -> Iterator[tuple[int, list[np.ndarra
         start = end
 
 
+def text_key(text: Column) -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
+
+
 def sketch(docs: DataFrame, banding: Banding, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc``, ``n`` (set size), ``digest`` of the set, ``bands`` (keys; empty without shingles)."""
+    """``doc``, ``text_key``, ``n`` (set size), ``digest`` of the set, ``bands`` (keys; empty without shingles)."""
     coordinates = banding.bands * banding.rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,6 +171,7 @@ def sketch(docs: DataFrame, banding: Banding, doc_id: str = "doc_id", text: str
                 yield pd.DataFrame(
                     {
                         "doc": batch["doc"].iloc[start : start + len(sets)].tolist(),
+                        "text_key": batch["text_key"].iloc[start : start + len(sets)].tolist(),
                         "n": [len(s) for s in sets],
                         "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                         "bands": keys,
@@ -173,8 +179,8 @@ def sketch(docs: DataFrame, banding: Banding, doc_id: str = "doc_id", text: str
                 ).astype({"doc": "Int64"})
         release()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).mapInPandas(
-        run, "doc long, n long, digest binary, bands array<long>"
+    return docs.select(F.col(doc_id).cast("long").alias("doc"), text_key(F.col(text)).alias("text_key"), F.col(text).alias("text")).mapInPandas(
+        run, "doc long, text_key long, n long, digest binary, bands array<long>"
     )
 
 
@@ -249,11 +255,22 @@ def near_duplicates(
     rounds: int = 2,
 ) -> DataFrame:
     """``doc``, ``n``, ``component`` (least id reachable) for every row of ``docs``."""
+    return _grouped(docs, banding, doc_id, text, rounds).select("doc", "n", F.coalesce("first.doc", "doc").alias("component"))
+
+
+def _grouped(docs: DataFrame, banding: Banding, doc_id: str = "doc_id", text: str = "text", rounds: int = 2) -> DataFrame:
+    """``doc``, ``text_key``, ``n``, ``first`` for every row of ``docs``.
+
+    ``first`` is the least (doc, text_key) of the row's group, and null for rows
+    that are linked with nothing by definition. Groups of different texts can
+    have the same least id, but no two have the same ``first``.
+    """
     sketches = materialize(sketch(docs, banding, doc_id, text), "sketches")
     nodes = (
         sketches.where("doc IS NOT NULL AND n > 0")
         .groupBy("digest")
-        .agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        .agg(F.min(F.struct("doc", "text_key")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        .withColumn("doc", F.col("first.doc"))
         .withColumn("node", F.monotonically_increasing_id())
     )
     nodes = materialize(nodes, "nodes")  # ids are fixed from here on
@@ -283,12 +300,13 @@ def near_duplicates(
             break
     labels = merge_labels(labels, _verified(_rest(members, labels, sets, banding.percent), sets, banding.percent))
 
-    rooted = nodes.select("node", "digest", "doc").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = materialize(rooted.select("digest", "doc", "root"), "rooted")
-    least = rooted.groupBy("root").agg(F.min("doc").alias("component"))
-    named = rooted.join(least, "root").select("digest", "component")
-    some = sketches.where("doc IS NOT NULL AND n > 0").select("doc", "n", "digest").join(named, "digest").select("doc", "n", "component")
-    none = sketches.where("doc IS NULL OR n = 0").select("doc", "n", F.col("doc").alias("component"))
+    rooted = nodes.select("node", "digest", "first").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialize(rooted.select("digest", "first", "root"), "rooted")
+    least = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    named = rooted.drop("first").join(least, "root").select("digest", "first")
+    rows = sketches.select("doc", "text_key", "n", "digest")
+    some = rows.where("doc IS NOT NULL AND n > 0").join(named, "digest").select("doc", "text_key", "n", "first")
+    none = rows.where("doc IS NULL OR n = 0").select("doc", "text_key", "n", F.lit(None).cast(named.schema["first"].dataType).alias("first"))
     return some.unionByName(none)
 
 
@@ -393,14 +411,20 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, banding: Banding = Banding(words=5, percent=80, rows=5)) -> DataFrame:  # noqa: B008
-    """The rows of ``docs`` without those whose group has a smaller id; repeated rows of one id stay once."""
-    found = materialize(near_duplicates(docs, banding), "duplicates")
-    gone = found.where("doc <> component").select(F.col("doc").alias("doc_id")).distinct()
+    """One text of each group: that of the least id, and of its texts that of the least key.
+
+    Rows are told apart by id and text; repeated rows of one id and text stay once.
+    """
+    found = materialize(_grouped(docs, banding), "duplicates")
+    named = [F.col("doc").alias("_doc"), F.col("text_key").alias("_key")]
+    gone = found.where("first IS NOT NULL AND (doc <> first.doc OR text_key <> first.text_key)").select(*named).distinct()
     gone = materialize(gone, "dropped")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    ids = found.where("doc IS NOT NULL").groupBy("doc").agg(F.count(F.lit(1)).alias("k"))
-    repeated = materialize(ids.where("k > 1").select(F.col("doc").alias("doc_id")), "repeated")
+    same = (F.col("doc_id") == F.col("_doc")) & (text_key(F.col("text")) == F.col("_key"))
+    kept = docs.join(gone, same, "left_anti")
+    stay = "first IS NULL OR (doc = first.doc AND text_key = first.text_key)"
+    rows = found.where("doc IS NOT NULL").where(stay).groupBy("doc", "text_key").agg(F.count(F.lit(1)).alias("k"))
+    repeated = materialize(rows.where("k > 1").select(*named), "repeated")
     if repeated.isEmpty():
         return kept
-    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(again.select(*kept.columns))
+    again = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, same, "left_anti").unionByName(again.select(*kept.columns))
