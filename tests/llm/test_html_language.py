@@ -34,6 +34,19 @@ def test_broken_pages(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html><head><title>T</title><meta charset=x><body><article><p>one</p></article>", "one"), ("<head><title>T</title><article><p>one</p></article>", "one"),
+        ("<article><p>one <svg width='1'/>two <canvas/>three</p><p>four</p></article>", "one two three\n\nfour"),
+        ("<article><div><p>one</p><button>Go</div><p>two <svg><g><path/></g></svg>three</p></article>", "one\n\ntwo three"),
+        ("<article><p>one <svg><path d='1'><p>two</p><p>a <span><math></span>b</p><p>c <video><p>no</p></video>d</p></article>", "one\n\ntwo\n\na b\n\nc d"),
+    ],
+)
+def test_dropped_elements_left_open_end_with_their_parent(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_very_long_page_is_read_whole():
     body = "".join(f"<p>word{i} is here</p>" for i in range(20_000))
     assert html_extract.main_text(f"<nav>m</nav><article>{body}</article>").count("\n\n") == 19_999

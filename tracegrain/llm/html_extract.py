@@ -35,7 +35,13 @@ INLINE = frozenset(
     "strike strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = "script style noscript template svg math iframe object select textarea button canvas audio video head title"
+#: Elements without text of the article: what is in the first holds no tags and ends at their end tag only.
+RAW = "script style textarea title"
+DROPPED = frozenset("noscript template svg math iframe object select button canvas audio video head".split())
+#: A head left open ends at the first other element.
+METADATA = frozenset("base basefont bgsound link meta noscript template".split())
+#: HTML elements that end a drawing or formula left open.
+BREAKOUT = frozenset("address article aside blockquote body center dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr img li main nav ol p pre section table ul".split())
 ASIDE = frozenset("nav footer aside form menu dialog fieldset".split())
 ROOTS = frozenset("article main".split())
 #: Words in class or id names of what surrounds an article.
@@ -52,7 +58,7 @@ GOOD = re.compile(
 )
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    rf"|<(?P<gone>{'|'.join(DROPPED.split())})(?=[\s/>])[^>]*>(?:.*?</(?P=gone)\s*>|.*\Z)"
+    rf"|<(?P<gone>{'|'.join(RAW.split())})(?=[\s/>])[^>]*>(?:.*?</(?P=gone)\s*>|.*\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?>[^>\"']+|\"[^\"]*\"|'[^']*')*|[^>]*)/?>",
     re.DOTALL | re.IGNORECASE,
 )
@@ -92,6 +98,8 @@ class _Reader:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     links: int = 0
+    drop: list[str] = field(default_factory=list)  # the dropped element that is open, and what is open in it
+    inline: list[str] = field(default_factory=list)
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -115,14 +123,32 @@ class _Reader:
         self.blocks.append(Block(text, words, min(linked, words), root, aside, hinted, heading, item, good))
 
     def text(self, raw: str) -> None:
+        if self.drop:
+            return
         if "&" in raw:
             raw = html.unescape(raw)
         self.parts.append(raw)
         if self.links:
             self.linked += len(raw.split())
 
-    def open(self, name: str, attrs: str) -> None:
+    def skips(self, name: str, alone: bool) -> bool:
+        """Whether a start tag belongs to a dropped element; one left open may end here."""
+        if self.drop == ["head"] and name not in METADATA or self.drop and self.drop[-1] in ("svg", "math", "g", "path") and name in BREAKOUT:
+            self.drop.clear()
+        if not self.drop and name not in DROPPED:
+            return False
+        if name == "head":
+            self.flush()
+        if not alone and name not in VOID:
+            self.drop.append(name)
+        return True
+
+    def open(self, name: str, attrs: str, alone: bool = False) -> None:
+        if self.skips(name, alone):
+            return
         if name in INLINE:
+            if name not in VOID:
+                self.inline.append(name)
             if name == "br":
                 self.parts.append(" ")
             elif name == "a":
@@ -130,6 +156,7 @@ class _Reader:
             return
         self.flush()
         self.links = 0
+        self.inline.clear()
         if name in VOID:
             return
         if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):  # opening one closes one of the kind left open
@@ -157,7 +184,18 @@ class _Reader:
         self.stack.append(made)
 
     def close(self, name: str) -> None:
+        if self.drop:
+            for i in range(len(self.drop) - 1, -1, -1):
+                if self.drop[i] == name:
+                    del self.drop[i:]
+                    return
+            if name not in self.inline and all(x.name != name for x in self.stack):
+                return
+            self.drop.clear()  # it ends with its parent
         if name in INLINE:
+            if name in self.inline:
+                while self.inline.pop() != name:
+                    pass
             if name == "a":
                 self.links = 0
             return
@@ -178,9 +216,9 @@ def read_blocks(page: str | None) -> list[Block]:
         at = m.end()
         name = m["name"]
         if name is not None:
-            (reader.close(name.lower()) if m["close"] else reader.open(name.lower(), m["attrs"]))
-        elif m["gone"] and m["gone"].lower() not in INLINE:
-            if m["gone"].lower() in ("head", "title"):
+            (reader.close(name.lower()) if m["close"] else reader.open(name.lower(), m["attrs"], m[0].endswith("/>")))
+        elif m["gone"]:
+            if m["gone"].lower() == "title" and not reader.drop:
                 reader.flush()
         elif page.startswith("<![CDATA[", m.start()):
             reader.text(page[m.start() + 9 : m.end() - 3])
