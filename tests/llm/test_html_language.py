@@ -117,3 +117,12 @@ def test_a_declaration_far_into_the_page(spark):
     got = run(spark, rows)
     assert [got[i].declared for i in range(4)] == ["fr", "fr", "fr", ""]
     assert [language_id.declared_language(h) for h in ("<html " * 20_000, "<html lang=" + " " * 20_000, "<!--" * 20_000)] == [""] * 3
+
+
+def test_a_rare_declaration_keeps_its_own_likelihood(spark):
+    """More than 500 codes: the rarest is French, the other rare ones German."""
+    codes = [a + b for a in "abcdefghijklmnopqrstuvwxy" for b in "abcdefghijklmnopqrstuvwxyz"][:550]
+    made = [(c, "de" if i % 2 or i >= 490 else "fr", 2 if i >= 490 else 3) for i, c in enumerate(codes)] + [("zz", "fr", 1)]
+    made = [(c, lang) for c, lang, k in made for _ in range(k)]
+    rows = [(i, f"http://h{i}.x{i}/", page(WORDS[lang] * 3, c)) for i, (c, lang) in enumerate(made)]
+    assert run(spark, rows + [(-1, None, page("", "zz"))])[-1].lang == "fr"

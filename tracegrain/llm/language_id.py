@@ -15,8 +15,8 @@ For each page the posterior of a language is the product of
 All counts are expected counts (sums of the text's posteriors) made by grouped
 aggregation over all pages, so a hot host is summed before it is shuffled. Only
 tables whose size does not follow the corpus reach the driver: trigram counts
-(2**bits times languages) and counts by suffix and declared language, the rarest
-of which are pooled natively under "other".
+(2**bits times languages). Counts by suffix and declared language are joined, so
+each value has its own likelihood, however many there are.
 
 Defined results: a null or empty page, or one without any article text, is
 judged by its other evidence; a null url has the empty host; a page without any
@@ -156,11 +156,10 @@ def _sums(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     return df.groupBy(*keys).agg(F.array(*[F.sum(F.col("p")[i]) for i in range(n)]).alias("c"))
 
 
-def identify(pages: DataFrame, model: TextModel, strength: float = 4.0, pooled: int = 500) -> DataFrame:
+def identify(pages: DataFrame, model: TextModel, strength: float = 4.0) -> DataFrame:
     """``page_id``, ``host``, ``suffix``, ``declared``, ``text_lang``, ``lang``, ``confidence``.
 
-    ``strength`` is the weight, in pages, of each level's parent; ``pooled`` how
-    many suffixes and declared languages are told apart.
+    ``strength`` is the weight, in pages, of each level's parent.
     """
     langs = model.languages
     n = len(langs)
@@ -177,21 +176,11 @@ def identify(pages: DataFrame, model: TextModel, strength: float = 4.0, pooled:
     total = np.array(_sums(pages_p.withColumn("all", F.lit(0)), ["all"], n).select("c").first()[0] if not read.isEmpty() else [0.0] * n)
     base = (total + 1.0) / (total.sum() + n)
 
-    def evidence(key: str) -> dict[str, list[float]]:
-        """log P(value | language) for the commonest values; '' stands for all others."""
-        rows = _sums(pages_p, [key], n).select(key, "c", F.aggregate("c", F.lit(0.0), lambda a, x: a + x).alias("s"))
-        common = rows.orderBy(F.desc("s"), key).limit(pooled).collect()
-        counts = {r[key]: np.array(r["c"]) for r in common}
-        rest = total - sum(counts.values(), np.zeros(n))
-        counts[""] = counts.get("", np.zeros(n)) + np.maximum(rest, 0.0)
-        m = len(counts)
-        return {k: [float(x) for x in np.log((c + 1.0) / (total + m))] for k, c in counts.items()}
-
-    def lookup(key: str) -> Column:
-        table = evidence(key)
-        known = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*[F.lit(y) for y in v]))])
-        # A missing declaration or suffix says nothing.
-        return F.when(F.col(key) == "", F.array(*[F.lit(0.0)] * n)).otherwise(F.coalesce(known[F.col(key)], known[F.lit("")]))
+    def evidence(table: DataFrame, key: str, counts: str, name: str) -> DataFrame:
+        """``key`` and ``name``, log P(value | language), for every value; a missing declaration or suffix says nothing."""
+        m = table.where(F.col(key) != "").count() + 1
+        own = F.array(*[F.log((F.col(counts)[i] + 1.0) / F.lit(float(total[i] + m))) for i in range(n)])
+        return table.select(key, F.when(F.col(key) == "", F.array(*[F.lit(0.0)] * n)).otherwise(own).alias(name))
 
     def smooth(counts: Column, parent: Column) -> Column:
         whole = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
@@ -199,17 +188,20 @@ def identify(pages: DataFrame, model: TextModel, strength: float = 4.0, pooled:
 
     hosts = materialize(_sums(pages_p, ["host", "domain", "suffix"], n), "language-hosts")
     summed = lambda key: hosts.groupBy(key).agg(F.array(*[F.sum(F.col("c")[i]) for i in range(n)]).alias(f"{key}_c"))
+    suffixes = materialize(summed("suffix"), "language-suffixes")
+    declared = materialize(_sums(pages_p, ["declared"], n), "language-declared")
     prior0 = F.array(*[F.lit(float(x)) for x in base])
     levels = (
-        hosts.join(summed("domain"), "domain").join(summed("suffix"), "suffix")
-        .select("host", F.col("c").alias("host_c"), "domain_c", smooth(F.col("suffix_c"), prior0).alias("_s"))
-        .select("host", "host_c", "domain_c", "_s", smooth(F.col("domain_c"), F.col("_s")).alias("_parent"))
-        .select("host", "host_c", F.col("_parent"))
+        hosts.join(summed("domain"), "domain").join(suffixes, "suffix").join(evidence(suffixes, "suffix", "suffix_c", "_x"), "suffix")
+        .select("host", "_x", F.col("c").alias("host_c"), "domain_c", smooth(F.col("suffix_c"), prior0).alias("_s"))
+        .select("host", "_x", "host_c", "domain_c", "_s", smooth(F.col("domain_c"), F.col("_s")).alias("_parent"))
+        .select("host", "_x", "host_c", F.col("_parent"))
     )
-    joined = read.join(levels, "host")
+    # A code has three letters at most, so this table is small whatever the corpus.
+    joined = read.join(levels, "host").join(F.broadcast(evidence(declared, "declared", "c", "_d")), "declared")
     without = F.zip_with("host_c", "p", lambda c, p: c - p)
     scored = joined.select("*", without.alias("_others"))
-    scored = scored.select("*", smooth(F.col("_others"), F.col("_parent")).alias("_prior"), lookup("declared").alias("_d"), lookup("suffix").alias("_x"))
+    scored = scored.select("*", smooth(F.col("_others"), F.col("_parent")).alias("_prior"))
     scored = scored.select("*", _softmax(F.transform("loglik", lambda x, i: x + F.log(F.col("_prior")[i]) + F.col("_d")[i] + F.col("_x")[i])).alias("_post"))
     names = F.array(*[F.lit(x) for x in langs])
     best = lambda a: F.get(names, (F.array_position(a, F.array_max(a)) - 1).cast("int"))
