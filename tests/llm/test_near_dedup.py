@@ -73,17 +73,42 @@ def test_a_crowded_group_of_edited_copies(spark):
     assert run(spark, rows) == brute(rows)
 
 
-def test_all_ways_of_the_last_step(spark, monkeypatch):
+@pytest.mark.parametrize("hot,part", [(4096, 1024), (8, 4)])
+def test_all_ways_of_the_last_step(spark, monkeypatch, hot, part):
     monkeypatch.setattr(nd, "CROWD", 3)
-    monkeypatch.setattr(nd, "RARE", 4)
+    monkeypatch.setattr(nd, "PIVOTS", 1)
+    monkeypatch.setattr(nd, "HOT", hot)
+    monkeypatch.setattr(nd, "PART", part)
     rng = random.Random(6)
     base = text(rng, 120)
     rows = [(i, " ".join(edited(rng, base, rng.randrange(0, 9)))) for i in range(90)]
+    rows += [(i, " ".join(edited(rng, base, rng.randrange(3, 5)) + text(rng, rng.randrange(6)))) for i in range(90, 130)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((str(r.doc), r.n, str(r.component)) for r in nd.near_duplicates(df, rounds=1).collect())
+    got = sorted((str(r.doc), r.n, str(r.component)) for r in nd.near_duplicates(df).collect())
     assert got == brute(rows)
 
 
+def test_comparisons_grow_with_a_group_of_edited_copies(spark, monkeypatch):
+    """Pairs whose full sets are compared: twice the group, about twice the pairs (its square would be four times)."""
+    made, verified = [], nd._verified
+
+    def counted(pairs, sets, percent):
+        made.append(pairs.select(nd.F.least("a", "b"), nd.F.greatest("a", "b")).distinct().count())
+        return verified(pairs, sets, percent)
+
+    monkeypatch.setattr(nd, "_verified", counted)
+    totals = []
+    for n in (150, 300, 600):
+        rng = random.Random(4)
+        base = text(rng, 140)
+        rows = [(i, " ".join(edited(rng, base, rng.randrange(1, 8)))) for i in range(n)]
+        made.clear()
+        got = run(spark, rows)
+        totals.append(sum(made))
+        assert n > 300 or got == brute(rows)
+    assert totals[2] <= 2.2 * totals[1] and totals[2] <= 2.2**2 * totals[0], totals
+
+
 def test_edges(spark):
     rows = [
         (1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "ONE"), (6, "one two"), (7, "one two"), (8, "a b c"), (9, "A\x0bB\x0cC"), (9, "A B C"),

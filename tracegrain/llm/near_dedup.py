@@ -12,18 +12,30 @@ that a pair at the threshold shares no bucket with probability below ``miss``.
 Copies: documents with equal sets (a 128-bit digest of the sorted set) are one
 node, grouped with partial aggregation, however many they are.
 
-Links: the graph's components are wanted, not its pairs. In a round every open
-bucket (one that holds more than one component) picks one pivot, and its members
-of other components are compared with that pivot only: linear in the bucket.
-The order of pivots is global and new in each round, so buckets of one group
-pick few pivots. What links is merged, and buckets of one component close. After
-the first round, one aggregation counts how many of a node's shingles any other
-component has; nodes for which that is too few for a link leave. When the
-comparisons still open are few (or after ``rounds``), members outside their
-bucket's largest component are compared with all members of other components, so
-each pair that shares a bucket is either in one component or has been compared
-on full sets: no cap, no sampling. Sizes that rule a link out are left out
-beforehand, which is exact.
+Links: the graph's components are wanted, not its pairs. A bucket is open while
+it holds several components. A round compares the members of open buckets with a
+few pivots of each, which is linear in the bucket; what links is merged, and
+buckets of one component close. The first round takes a pivot by a hash. Then an
+aggregation counts, for every node still contested, how many of its shingles any
+other component has (nodes for which that is too few for a link leave) and how
+often contested nodes have them. The second round's pivots are the ``PIVOTS``
+nodes of each bucket that overlap most with all others: what links with
+anything in a group of edited copies mostly links with those.
+
+What is left is settled exactly. In small buckets, members outside the largest
+component meet the others. In crowded ones only prefixes meet: a node's shared
+shingles are ordered from the rarest on, and a pair that links has a common
+shingle among the first ``c - need + 1`` of either, where ``need`` is the least
+overlap with which the node can link at all. Where that shingle stands also
+bounds the overlap, so copies whose edits are their own are refuted by two
+numbers and never made a pair. Hence every pair that shares a bucket is in one
+component, or is refuted by a bound, or has been compared on full sets: no cap,
+no sampling. The pairs left grow with the group as long as it has members near
+its middle; copies that are all equally far from each other, just below the
+threshold, can need a comparison for each pair that no bound refutes.
+
+Keys, shingles and pivots that many rows share are split: those with more than
+1/4096 of a join's rows (fewer than 4096, hence) go by broadcast or in parts.
 
 Intermediate tables (sketches, buckets, sets of documents that share a bucket,
 labels) are written to the shared folder. Nothing but counts reaches the driver.
@@ -44,7 +56,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .worker_memory import release
@@ -57,8 +69,10 @@ _GATHER, _SLICE = 4096, 1 << 20
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: Ids (8 bytes each) that may be broadcast; beyond, joins shuffle.
 BROADCAST_IDS = 2_000_000
-#: Members up to which an open bucket is compared directly in the end, and nodes up to which a shingle is rare.
-CROWD, RARE = 12, 32
+#: Pivots of a bucket in the second round, and members up to which an open bucket is compared directly in the end.
+PIVOTS, CROWD = 2, 16
+#: A key with more than this part of a join's rows is split; a part holds about so many rows.
+HOT, PART = 4096, 1024
 _U = np.uint64
 
 
@@ -211,7 +225,9 @@ def merge_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
     come to, so the next turn goes on from there.
     """
     edges = materialize(edges.where("a <> b").distinct(), "edges")
+    changed = False
     while not edges.isEmpty():
+        changed = True
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min("b").alias("to"))
         up = materialize(up.select(F.col("a").alias("x"), F.least("a", "to").alias("up")), "parents")
@@ -219,22 +235,56 @@ def merge_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
             up = up.join(up.select(F.col("x").alias("up"), F.col("up").alias("upper")), "up").select("x", F.col("upper").alias("up"))
         up = materialize(up, "parents")
         labels = labels.join(up.withColumnRenamed("x", "root"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-        labels = materialize(labels, "labels")
         a = up.select(F.col("x").alias("a"), F.col("up").alias("ra"))
         b = up.select(F.col("x").alias("b"), F.col("up").alias("rb"))
         edges = edges.join(a, "a").join(b, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
         edges = materialize(edges, "edges")
-    return labels
+    return materialize(labels, "labels") if changed else labels
+
+
+def _spread(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """Inner join on ``key``, whose ``weight`` in ``right`` is its number of rows in ``left`` (``total`` in all).
+
+    Keys with more than ``total / HOT`` rows, fewer than ``HOT``, are broadcast;
+    no other key is large enough to burden a task.
+    """
+    most = total // HOT
+    hot = F.broadcast(right.where(F.col(weight) > most))
+    rest = left.join(F.broadcast(right.where(F.col(weight) > most).select(key)), key, "left_anti")
+    return left.join(hot, key).unionByName(rest.join(right.where(F.col(weight) <= most), key))
+
+
+def _parts(n: Column) -> Column:
+    """A row for each of ``n`` parts."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, ca, cb) whose full sets link; repeated pairs are compared once."""
-    left = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-    right = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
+    """The pairs (a, b, ca, cb) whose full sets link; repeated pairs are compared once.
+
+    The set of a node that is in many pairs is entered once for each part of them.
+    """
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ca", "cb").dropDuplicates(["a", "b"]), "pairs")
+    total = pairs.count()
+
+    most = max(total // HOT, PART)
+    hot = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > most)
+    hot = hot.select("node", F.ceil(F.col("k") / PART).cast("int").alias("parts"))
+    hot = materialize(hot, "hot") if total > most else None  # fewer than 2 * HOT
+
+    def with_set(df: DataFrame, node: str, other: str) -> DataFrame:
+        named = sets.select(F.col("node").alias(node), F.col("set").alias(f"s{node}"))
+        if hot is None:
+            return df.join(named, node)
+        split = F.broadcast(hot.withColumnRenamed("node", node))
+        parts = F.coalesce("parts", F.lit(1))
+        named = named.join(split, node, "left").select(node, f"s{node}", _parts(parts).alias("part"))
+        df = df.join(split, node, "left").withColumn("part", F.pmod(F.xxhash64(other), parts).cast("long")).drop("parts")
+        return df.join(named, [node, "part"]).drop("part")
+
     both = F.size(F.array_intersect("sa", "sb"))
     return (
-        pairs.join(left, "b")
-        .join(right, "a")
+        with_set(with_set(pairs, "b", "a"), "a", "b")
         .withColumn("_both", both)
         .where(100 * F.col("_both") >= percent * (F.size("sa") + F.size("sb") - F.col("_both")))
         .select(F.col("ca").alias("a"), F.col("cb").alias("b"))
@@ -252,13 +302,12 @@ def near_duplicates(
     banding: Banding = Banding(),  # noqa: B008  frozen
     doc_id: str = "doc_id",
     text: str = "text",
-    rounds: int = 2,
 ) -> DataFrame:
     """``doc``, ``n``, ``component`` (least id reachable) for every row of ``docs``."""
-    return _grouped(docs, banding, doc_id, text, rounds).select("doc", "n", F.coalesce("first.doc", "doc").alias("component"))
+    return _grouped(docs, banding, doc_id, text).select("doc", "n", F.coalesce("first.doc", "doc").alias("component"))
 
 
-def _grouped(docs: DataFrame, banding: Banding, doc_id: str = "doc_id", text: str = "text", rounds: int = 2) -> DataFrame:
+def _grouped(docs: DataFrame, banding: Banding, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc``, ``text_key``, ``n``, ``first`` for every row of ``docs``.
 
     ``first`` is the least (doc, text_key) of the row's group, and null for rows
@@ -288,17 +337,16 @@ def _grouped(docs: DataFrame, banding: Banding, doc_id: str = "doc_id", text: st
     sets = full_sets(rows, banding).join(wanted, "doc").where("digest = own").dropDuplicates(["node"]).select("node", "set")
     sets = materialize(sets, "sets")
 
-    labels = materialize(live.select("node", F.col("node").alias("root")), "labels")
+    labels = live.select("node", F.col("node").alias("root"))
+    percent = banding.percent
     # Nothing is known yet of what a node shares with other components: all of it, at most.
     members = members.withColumn("c", F.col("n"))
-    for t in range(rounds):
-        labels = merge_labels(labels, _verified(_star(members, labels, t, banding.percent), sets, banding.percent))
-        if t == 0:
-            members = materialize(_contested(members, labels, sets, banding.percent), "contested")
-        work = _open(members, labels).agg(F.coalesce(F.sum("work"), F.lit(0))).first()[0]
-        if work <= 4 * count:
-            break
-    labels = merge_labels(labels, _verified(_rest(members, labels, sets, banding.percent), sets, banding.percent))
+    pairs = _star(members, labels, F.xxhash64("node"), 1, percent)
+    labels = merge_labels(labels, _verified(pairs, sets, percent))
+    members = materialize(_contested(members, labels, sets, percent), "contested")
+    pairs = _star(members, labels, -F.col("near"), PIVOTS, percent)
+    labels = merge_labels(labels, _verified(pairs, sets, percent))
+    labels = merge_labels(labels, _verified(_rest(members, labels, sets, percent), sets, percent))
 
     rooted = nodes.select("node", "digest", "first").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = materialize(rooted.select("digest", "first", "root"), "rooted")
@@ -310,72 +358,90 @@ def _grouped(docs: DataFrame, banding: Banding, doc_id: str = "doc_id", text: st
     return some.unionByName(none)
 
 
-def _star(members: DataFrame, labels: DataFrame, t: int, percent: int) -> DataFrame:
-    """Round ``t``'s pairs (a, b, ca, cb): each open bucket's pivot with its members of other components."""
+def _open(rows: DataFrame, key: str) -> DataFrame:
+    """Keys under which several components meet: ``key``, rows ``m``, largest component ``top``, least size ``least``."""
+    parts = rows.groupBy(key, "root").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"))
+    whole = parts.groupBy(key).agg(F.sum("k").alias("m"), F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("c"), F.min("least").alias("least"))
+    return whole.where("c > 1").select(key, "m", F.col("top.root").alias("top"), "least")
+
+
+def _rows(opened: DataFrame) -> int:
+    return opened.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+
+
+def _star(members: DataFrame, labels: DataFrame, order: Column, pivots: int, percent: int) -> DataFrame:
+    """A round's pairs (a, b, ca, cb): the first ``pivots`` of each open bucket with its members of other components.
+
+    A node has a bucket for each band, so it is in ``pivots`` times as many pairs at most, however large its group.
+    """
     now = members.join(labels, "node")
-    pivot = F.min(F.struct(F.xxhash64(F.lit(t), "node").alias("o"), "node", "n", "c", "root")).alias("p")
-    buckets = now.groupBy("key").agg(pivot, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    buckets = buckets.select("key", "p.node", "p.n", "p.c", "p.root").toDF("key", "a", "na", "sa", "ca")
-    return (
-        now.join(buckets, "key")
-        .where((F.col("ca") != F.col("root")) & _can_link("n", "na", "c", "sa", percent))
-        .select("a", F.col("node").alias("b"), "ca", F.col("root").alias("cb"))
-        .distinct()
-    )
+    opened = _open(now, "key").select("key", "m")
+    first = Window.partitionBy("key").orderBy("o", "node")  # only so many of each partition are shuffled
+    ranked = now.withColumn("o", order).withColumn("r", F.row_number().over(first)).where(F.col("r") <= pivots)
+    ranked = ranked.select("key", "node", "n", "c", "root", "r").toDF("key", "a", "na", "sa", "ca", "r").join(opened, "key")
+    ranked = materialize(ranked, "pivots")
+    met = _spread(now, ranked.drop("r"), "key", "m", _rows(ranked.where("r = 1")))
+    met = met.where((F.col("ca") != F.col("root")) & _can_link("n", "na", "c", "sa", percent))
+    return met.select("a", F.col("node").alias("b"), "ca", F.col("root").alias("cb"))
+
+
+def _shared_shingles(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """``node``, ``s``, ``d``: shingles of ``nodes`` (node, n, root) that another component's have too, and how many have them."""
+    owned = sets.join(nodes, "node").select("node", "root", F.explode("set").alias("s"))
+    met = owned.groupBy("s").agg(F.count(F.lit(1)).alias("d"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    met = materialize(met.where("lo <> hi").select("s", "d"), "met")
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return _spread(owned.select("node", "s"), met, "s", "d", total)
 
 
 def _contested(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Members of open buckets that can still link elsewhere: ``node``, ``n``, ``key``, ``c``.
+    """Members of open buckets that can still link elsewhere: ``node``, ``n``, ``key``, ``c``, ``near``.
 
     ``c`` counts a node's shingles that some other component's contested node
     has too. Only those can be shared across components, so a node with
     ``100 * c < percent * n`` has no link left and goes, however many members
-    its buckets have: one aggregation instead of comparisons.
+    its buckets have: one aggregation instead of comparisons. ``near`` is the
+    sum of its overlaps with all contested nodes.
     """
-    nodes = members.join(_open(members, labels).select("key"), "key", "left_semi").select("node").distinct()
-    nodes = materialize(nodes.join(labels, "node"), "contested-nodes")
-    owned = sets.join(nodes, "node").select("node", "root", F.explode("set").alias("s"))
-    met = owned.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
-    counted = owned.join(met, "s").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
-    return members.drop("c").join(counted, "node").where(100 * F.col("c") >= percent * F.col("n")).select("node", "n", "key", "c")
+    now = members.join(labels, "node")
+    nodes = now.join(_open(now, "key").select("key"), "key", "left_semi").select("node", "n", "root").distinct()
+    counted = _shared_shingles(materialize(nodes, "contested-nodes"), sets)
+    counted = counted.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.sum("d").alias("near"))
+    return members.drop("c").join(counted, "node").where(100 * F.col("c") >= percent * F.col("n")).select("node", "n", "key", "c", "near")
 
 
 def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All comparisons still open, as pairs (a, b, ca, cb).
-
-    In a bucket of ``CROWD`` members at most: those outside its largest
-    component, with those of other components. In crowded buckets a pair either
-    shares a shingle that ``RARE`` of their nodes at most have, and is found by
-    it, or shares only common ones; then the count of a node's common shingles
-    bounds what it can share, and few nodes of a group of edited copies have
-    enough of them. Both ways together leave out no pair that links.
-    """
+    """All comparisons still open that no bound refutes, as pairs (a, b, ca, cb)."""
     now = members.join(labels, "node")
-    opened = _open(members, labels)
-    here = now.join(opened, "key")
-    small = here.where(F.col("m") <= CROWD)
-    pairs = _across(small, percent)
-
-    crowded = materialize(here.where(F.col("m") > CROWD).select("key", "node", "n", "c", "root", "top"), "crowded")
-    nodes = crowded.select("node", "n", "c", "root").distinct()
-    owned = sets.join(nodes, "node").select("node", "n", "c", "root", F.explode("set").alias("s"))
-    degree = owned.groupBy("s").agg(F.count(F.lit(1)).alias("d"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    degree = degree.where("lo <> hi").select("s", "d")
-    counted = owned.join(degree, "s")
-    common = counted.where(F.col("d") > RARE).groupBy("node").agg(F.count(F.lit(1)).alias("k"))
-    # What a node can share by common shingles alone must do for the smallest set of its bucket.
-    able = crowded.drop("c").join(common.withColumnRenamed("k", "c"), "node")
-    least = able.groupBy("key").agg(F.min("n").alias("least"))
-    able = able.join(least, "key").where(100 * F.col("c") >= percent * (F.col("n") + F.greatest("least", "c") - F.col("c")))
-    pairs = pairs.unionByName(_across(able, percent))
-
-    lists = counted.where(F.col("d") <= RARE).groupBy("s")
-    lists = lists.agg(F.collect_list(F.struct("node", "n", "c", "root")).alias("x"))  # RARE nodes at most
-    apart = lists.select(F.posexplode("x").alias("i", "p"), "x").select("p", F.explode(F.slice("x", F.col("i") + 2, RARE)).alias("q"))
-    apart = apart.where(F.col("p.root") != F.col("q.root"))
-    apart = apart.select("p.node", "p.n", "p.c", "p.root", "q.*").toDF("a", "na", "sa", "ca", "node", "n", "c", "root")
-    pairs = pairs.unionByName(_ordered(apart.where(_can_link("n", "na", "c", "sa", percent))))
-    return pairs.distinct()
+    opened = materialize(_open(now, "key"), "open")
+    here = _spread(now, opened, "key", "m", _rows(opened)).select("key", "node", "n", "c", "root", "m", "top", "least")
+    here = materialize(here, "open-members")
+    pairs = _across(here.where(F.col("m") <= CROWD), percent)
+
+    nodes = here.where(F.col("m") > CROWD).groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.min("least").alias("least"))
+    nodes = materialize(nodes, "crowded")
+    if nodes.isEmpty():
+        return pairs
+    # Sets of sizes n and m link from an overlap of percent * (n + m) / (100 + percent) on.
+    smallest = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+    need = F.ceil((F.col("n") + smallest) * percent / (100 + percent))
+    ordered = _shared_shingles(nodes, sets).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("d", "s"))).alias("x"))  # one text's own set
+    ordered = ordered.join(nodes, "node").select("node", "n", "root", "x", (F.size("x") - need + 1).cast("int").alias("k")).where("k > 0")
+    prefix = ordered.select("node", "n", "root", F.size("x").alias("c"), F.posexplode(F.slice("x", F.lit(1), F.col("k"))).alias("i", "e"))
+    prefix = materialize(prefix.select("node", "n", "root", F.col("e.s").alias("s"), (F.col("c") - F.col("i")).alias("c")), "prefixes")
+    lists = materialize(_open(prefix, "s"), "lists")
+    met = _spread(prefix, lists, "s", "m", _rows(lists)).select("s", "node", "n", "c", "root", "top", F.ceil(F.col("m") / PART).cast("int").alias("parts"))
+    met = materialize(met, "met-prefixes")
+    outside = met.where("root <> top").select("s", "node", "n", "c", "root", _parts(F.col("parts")).alias("part"))
+    outside = outside.toDF("s", "a", "na", "sa", "ca", "part")
+    met = met.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("long"))
+    found = outside.join(met, ["s", "part"]).where((F.col("ca") != F.col("root")) & _once() & _can_link("n", "na", "c", "sa", percent))
+    return pairs.unionByName(found.select("a", F.col("node").alias("b"), "ca", F.col("root").alias("cb")))
+
+
+def _once() -> Column:
+    """A pair of two members outside the largest component is made from its smaller node only."""
+    return (F.col("root") == F.col("top")) | (F.col("a") < F.col("node"))
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
@@ -387,27 +453,9 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     keys = members.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # a node has a key for each band at most
     members = members.join(keys, "node").select("key", "node", "n", "c", "root", "top", "keys")
     outside = members.where("root <> top").select("key", "node", "n", "c", "root", "keys").toDF("key", "a", "na", "sa", "ca", "ka")
-    once = (F.col("root") == F.col("top")) | (F.col("a") < F.col("node"))
     least = F.array_min(F.array_intersect("ka", "keys")) == F.col("key")
-    return _ordered(outside.join(members, "key").where((F.col("ca") != F.col("root")) & once & _can_link("n", "na", "c", "sa", percent) & least))
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """Pairs with the smaller node first."""
-    ahead = F.col("a") < F.col("node")
-    return pairs.select(
-        F.least("a", "node").alias("a"),
-        F.greatest("a", "node").alias("b"),
-        F.when(ahead, F.col("ca")).otherwise(F.col("root")).alias("ca"),
-        F.when(ahead, F.col("root")).otherwise(F.col("ca")).alias("cb"),
-    )
-
-
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Buckets of several components: ``key``, their largest component ``top``, comparisons left ``work``."""
-    parts = members.join(labels, "node").groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
-    whole = parts.groupBy("key").agg(F.sum("k").alias("m"), F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("c"))
-    return whole.where("c > 1").select("key", "m", F.col("top.root").alias("top"), ((F.col("m") - F.col("top.k")) * F.col("m")).alias("work"))
+    found = outside.join(members, "key").where((F.col("ca") != F.col("root")) & _once() & _can_link("n", "na", "c", "sa", percent) & least)
+    return found.select("a", F.col("node").alias("b"), "ca", F.col("root").alias("cb"))
 
 
 def keep_one(docs: DataFrame, banding: Banding = Banding(words=5, percent=80, rows=5)) -> DataFrame:  # noqa: B008
