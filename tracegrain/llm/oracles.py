@@ -53,14 +53,18 @@ s AS (
          sum(length(b[i]) + length(w[i])) OVER (PARTITION BY row, kind ORDER BY i) AS e
   FROM u
 ), spans AS (SELECT row, kind, rank, w, CAST(e - length(w) AS BIGINT) AS a, CAST(e AS BIGINT) AS e FROM s WHERE size >= least),
+bs AS (SELECT row, list(struct_pack(a := a, e := e)) AS l FROM spans WHERE kind <> 'entropy' GROUP BY row),
 c AS (
   SELECT r.*, CASE WHEN regexp_matches(w, '^[0-9+/_-]+$') THEN NULL WHEN regexp_matches(w, '^[0-9a-fA-F]+$') THEN 3.01e0 WHEN regexp_matches(w, '^[A-Z0-9]+$') THEN 3.41e0
          WHEN regexp_matches(w, '[a-z]') AND regexp_matches(w, '[A-Z]') THEN 3.61e0 ELSE 3.71e0 END AS bits
-  FROM spans r WHERE kind = 'entropy' AND regexp_matches(w, '[0-9]')
-    AND NOT EXISTS (SELECT 1 FROM spans x WHERE x.row = r.row AND x.kind <> 'entropy' AND x.a < r.e AND r.a < x.e)
+  FROM spans r LEFT JOIN bs USING (row) WHERE kind = 'entropy' AND regexp_matches(w, '[0-9]|[a-z][+/_-]*[A-Z]')
+    AND (l IS NULL OR len(list_filter(list_concat([a], list_transform(list_filter(l, lambda x: x.e > a AND x.e < e), lambda x: x.e)),
+                                      lambda p: len(list_filter(l, lambda y: y.a <= p AND y.e > p)) = 0)) > 0)
     AND NOT regexp_matches(w, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$')
-    AND NOT regexp_matches(w, '^/?[A-Za-z]+[0-9]{0,4}(/[A-Za-z_-]*[0-9]{0,8})+$') AND NOT regexp_matches(w, '^[0-9]{4}-[0-9]{2}-[0-9]{2}[A-Za-z0-9_-]*$')
-    AND NOT regexp_matches(w, '^[A-Z0-9]*EXAMPLE(KEY)?$') AND NOT regexp_matches(w, '(?i)^[a-z]+([_-][a-z]+)*[_-]?[0-9]{1,4}$')
+    AND NOT regexp_matches(w, '^/?(?:[A-Z]?[a-z]{1,15}|[A-Z]{1,4})(?:[_-](?:[A-Z]?[a-z]{1,15}|[A-Z]{1,4}))*[0-9]{0,4}(?:/(?:(?:[A-Z]?[a-z]{1,15}|[A-Z]{1,4})(?:[_-](?:[A-Z]?[a-z]{1,15}|[A-Z]{1,4}))*)?[0-9]{0,8})+$')
+    AND NOT regexp_matches(w, '^(?:[A-Z]?[a-z]{1,15}|[A-Z]{1,4})(?:[_-](?:[A-Z]?[a-z]{1,15}|[A-Z]{1,4}|[0-9]{1,4}))+[0-9]{0,4}$')
+    AND NOT regexp_matches(w, '^[A-Z]?[a-z]{2,15}(?:[A-Z][a-z]{2,15})*[0-9]{0,4}$') AND NOT regexp_matches(w, '^[0-9]{4}-[0-9]{2}-[0-9]{2}[A-Za-z0-9_-]*$')
+    AND NOT regexp_matches(w, '^[A-Z0-9]*EXAMPLE(?:KEY)?$')
 ), h AS (
   SELECT row, a, e, bits, max(list_entropy(string_split(substr(w, i, 20), ''))) AS h
   FROM (SELECT *, unnest(range(1, length(w) - 18)) AS i FROM c WHERE bits IS NOT NULL) GROUP BY ALL

@@ -7,9 +7,10 @@ Base kinds (leftmost, non-overlapping, failing matches dropped after matching):
 * ``hex``: lower-case hexadecimal runs of 16 characters or more.
 
 ``entropy`` spans are added: maximal runs of token characters, at least
-``WINDOW`` long and with a digit, whose Shannon entropy over some window of
-``WINDOW`` characters reaches the threshold of the run's character class
-(digits-only runs have none). Counts are kept incrementally: a step of the fold
+``WINDOW`` long, with a digit or with capitals after small letters, whose Shannon
+entropy over some window of ``WINDOW`` characters reaches the threshold of the
+run's character class (digits-only runs have none). The allow-list holds words,
+joined by separators or as capitalised parts, but no letters in mixed order. Counts are kept incrementally: a step of the fold
 adds the entering character and takes out the leaving one, which changes two
 terms of the sum. Allow-listed runs and runs that base spans cover entirely are
 left out; a run that reaches beyond them is scored whole and added.
@@ -36,7 +37,7 @@ HEX = "[0-9a-f]{16,}+"
 
 WINDOW = 20
 TOKEN = "[A-Za-z0-9+/_-]"
-CANDIDATE = f"(?<!{TOKEN})(?=[A-Za-z+/_-]*[0-9]){TOKEN}{{{WINDOW},}}+"
+CANDIDATE = f"(?<!{TOKEN})(?=[A-Za-z+/_-]*(?:[0-9]|[a-z][+/_-]*[A-Z])){TOKEN}{{{WINDOW},}}+"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 #: Class of a run, as a pattern of the whole run, and the bits that a window of it must reach.
 CLASSES = (
@@ -46,13 +47,16 @@ CLASSES = (
     ("mixed", r"^(?=.*[a-z])(?=.*[A-Z]).*$", 3.61),
     ("lower", r"^.*$", 3.71),
 )
-#: Runs that look random but are no secrets: identifiers in the 8-4-4-4-12 form, paths of words, date stamps, documentation keys.
+_PART = "(?:[A-Z]?[a-z]{1,15}|[A-Z]{1,4})"
+_WORDS = f"{_PART}(?:[_-]{_PART})*"
+#: Runs that look random but are no secrets: identifiers in the 8-4-4-4-12 form, paths and lists of words, capitalised parts, date stamps, documentation keys.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^/?[A-Za-z]+[0-9]{0,4}(/[A-Za-z_-]*[0-9]{0,8})+$",
+    f"^/?{_WORDS}[0-9]{{0,4}}(?:/(?:{_WORDS})?[0-9]{{0,8}})+$",
+    f"^{_PART}(?:[_-](?:{_PART}|[0-9]{{1,4}}))+[0-9]{{0,4}}$",
+    r"^[A-Z]?[a-z]{2,15}(?:[A-Z][a-z]{2,15})*[0-9]{0,4}$",
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[A-Za-z0-9_-]*$",
-    r"^[A-Z0-9]*EXAMPLE(KEY)?$",
-    r"^(?i)[a-z]+([_-][a-z]+)*[_-]?[0-9]{1,4}$",
+    r"^[A-Z0-9]*EXAMPLE(?:KEY)?$",
 )
 KINDS = ("assign", "access", "hex", "entropy")
 
@@ -161,7 +165,8 @@ def scan_secrets(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with ``secrets``: array of struct(start, rank, kind, end), by start, then kind as listed."""
     if "secrets" in df.columns:
         raise ValueError("a column named secrets clashes with the result's")
-    out = df.select("*", F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    # The input's columns travel as one, so their names cannot clash with those made here.
+    out = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
     out = _with_matches(out, "_assign", ASSIGN, 2, 12)
     out = _with_matches(out, "_access", ACCESS, None, 18)
     out = _with_matches(out, "_hex", HEX, None, 16)
@@ -178,7 +183,7 @@ def scan_secrets(df: DataFrame, text: str = "text") -> DataFrame:
         lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(name).alias("kind"), s["end"].alias("end")),
     )
     spans = F.sort_array(F.concat(*[tag(name, rank) for rank, name in enumerate(KINDS)]))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], spans.alias("secrets"))
+    return out.select("_row.*", spans.alias("secrets"))
 
 
 def span_string(spans: Column) -> Column:
