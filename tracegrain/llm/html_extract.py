@@ -2,7 +2,10 @@
 
 A page is read once, tolerantly, into flat text blocks. Each block has its word
 count and link density, those of its neighbours, and what encloses it; a small
-decision tree decides whether it belongs to the article. The tree is grown here,
+decision tree decides whether it belongs to the article. Names of classes and ids
+are one kind of evidence only: a word that most of the text stands under (or, of
+the clear words, all of it) says nothing, since an article cannot be a notice of
+its own page. Articles inside a comment section, sidebar, menu or footer are none. The tree is grown here,
 from a small labelled table: example pages whose blocks are marked as article or
 not (:data:`EXAMPLES`), read by the same reader.
 
@@ -44,15 +47,24 @@ METADATA = frozenset("base basefont bgsound link meta noscript template".split()
 BREAKOUT = frozenset("address article aside blockquote body center dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr img li main nav ol p pre section table ul".split())
 ASIDE = frozenset("nav footer aside form menu dialog fieldset".split())
 ROOTS = frozenset("article main".split())
-#: Words in class or id names of what surrounds an article.
-HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adv|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|newsletter|subscri\w+|popup|modal|overlay|"
-    r"nav\w*|menu\w*|breadcrumbs?|sidebar|side|aside|widget\w*|related|recommend\w*|share\w*|sharing|social|follow|comments?\w*|disqus|replies|reply|responses|"
-    r"footer|foot|header|masthead|topbar|toolbar|login|signup|search|form|copyright|legal|tags?|pagination|pager|skip|author-box|teaser\w*)(?=$|[\s_-]|\d)",
+_EDGE, _END = r"(?:^|[\s_-])", r"(?=$|[\s_-]|\d)"
+#: Words in class or id names of reader comments, of what else surrounds an article, and of what may do so.
+COMMENTS = re.compile(rf"{_EDGE}(?:comments?|commentlist|comment-?(?:body|text|content)|disqus|replies|responses){_END}", re.IGNORECASE)
+CLEAR = re.compile(
+    rf"{_EDGE}(?:ads?|advert(?:s|isements?|ising)?|adv|sponsor(?:s|ed)?|promos?|promotions?|banner|cookies?|consent|gdpr|notices?|newsletter|subscribe|subscription|popup|modal|overlay|"
+    rf"nav(?:bar|igation)?|menus?|breadcrumbs?|sidebar|aside|widgets?|related|recommend(?:ed|ations?)|share|sharing|social|footer|masthead|copyright|legal){_END}",
     re.IGNORECASE,
 )
+VAGUE = re.compile(
+    rf"{_EDGE}(?:alert|side|follow|reply|foot|header|topbar|toolbar|login|signup|search|form|tags?|pagination|pager|skip|author-box|teasers?){_END}",
+    re.IGNORECASE,
+)
+#: What a line of rights begins with or says.
+RIGHTS = re.compile(r"^\W*(?:©|\(c\)|copyright\b)|\ball rights reserved\b", re.IGNORECASE)
 #: An article's own heading is no page header.
 TITLE = re.compile(r"(?:article|post|entry|story|content)[_-]?(?:header|head|title)", re.IGNORECASE)
+#: An article of this name is a reader's remark.
+REMARK = re.compile(r"(?:^|\s)(?:comments?|reply|replies|response)(?:[_-](?:body|text|content|item|entry|\d+))?(?=\s|$)", re.IGNORECASE)
 GOOD = re.compile(
     r"(?:^|[\s_-])(?:article\w*|post|posts?-?(?:body|content|text)|entry\w*|story\w*|content|main\w*|body|text)(?=$|[\s_-]|\d)", re.IGNORECASE
 )
@@ -66,7 +78,7 @@ _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([
 
 FEATURES = (
     "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after",
-    "in_root", "in_aside", "hinted", "heading", "list_item", "good", "page_has_root", "links",
+    "in_root", "in_aside", "clear_name", "vague_name", "heading", "list_item", "paragraph", "good", "page_has_root", "links", "rights",
 )
 
 
@@ -75,19 +87,22 @@ class Block:
     text: str
     words: int
     linked: int
-    root: bool
+    root: int  # number of the article that it stands in; 0 if in none
     aside: int
-    hinted: int
+    named: list[tuple[int, int]]  # enclosing elements with a telling name: its number, and 2 if clear, 1 if vague
     heading: bool
     item: bool
+    paragraph: bool
     good: bool
 
 
 @dataclass
 class _Open:
     name: str
+    number: int
     aside: int = 0
-    hinted: int = 0
+    named: int = 0
+    comments: bool = False
     good: bool = False
 
 
@@ -98,6 +113,7 @@ class _Reader:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     links: int = 0
+    opened: int = 0
     drop: list[str] = field(default_factory=list)  # the dropped element that is open, and what is open in it
     inline: list[str] = field(default_factory=list)
 
@@ -107,20 +123,22 @@ class _Reader:
         linked, self.linked = self.linked, 0
         if not text:
             return
-        root = False
-        aside = hinted = 0
-        good = heading = item = False
+        root = aside = 0
+        named: list[tuple[int, int]] = []
+        good = heading = item = paragraph = False
         for x in reversed(self.stack):
             heading = heading or len(x.name) == 2 and x.name[0] == "h" and x.name[1].isdigit()
             item = item or x.name in ("li", "dt", "dd", "td", "th", "option")
+            paragraph = paragraph or x.name in ("p", "pre", "blockquote")
             aside += x.aside
-            hinted += x.hinted
+            if x.named:
+                named.append((x.number, x.named))
             good = good or x.good
             if x.name in ROOTS:  # what an article stands in does not speak against it
-                root = True
+                root = x.number
                 break
         words = len(text.split())
-        self.blocks.append(Block(text, words, min(linked, words), root, aside, hinted, heading, item, good))
+        self.blocks.append(Block(text, words, min(linked, words), root, aside, named, heading, item, paragraph, good))
 
     def text(self, raw: str) -> None:
         if self.drop:
@@ -167,18 +185,26 @@ class _Reader:
                     break
                 if x not in ("p", "li", "td", "th", "dt", "dd"):
                     break
-        made = _Open(name, int(name in ASIDE))
-        if name in ROOTS:
-            self.stack = [x for x in self.stack if x.name in ("html", "body")]
+        self.opened += 1
+        made = _Open(name, self.opened, int(name in ASIDE))
         for key, a, b, c in _ATTR.findall(attrs) if attrs else ():
             key, value = key.lower(), a or b or c
             if key in ("class", "id"):
-                made.hinted = made.hinted or int(bool(HINTS.search(TITLE.sub("", value))) and name not in ROOTS and name not in ("html", "body"))
+                if name not in ("html", "body"):
+                    bare = TITLE.sub("", value)
+                    made.comments = made.comments or bool(COMMENTS.search(bare)) and (name not in ROOTS or bool(REMARK.search(bare)))
+                    if name not in ROOTS:
+                        made.named = max(made.named, 2 if made.comments or CLEAR.search(bare) else 1 if VAGUE.search(bare) else 0)
                 made.good = made.good or bool(GOOD.search(value))
             elif key == "role":
                 made.aside = made.aside or int(value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "form"))
             elif key == "hidden" or value.lower() == "true":
-                made.hinted = 1
+                made.aside += 1
+        if name in ROOTS:
+            if made.comments or any(x.comments or x.name in ("aside", "nav", "footer") for x in self.stack):
+                made.name, made.named = "section", 2 * made.comments  # a remark, or a teaser beside the article
+            else:
+                self.stack = [x for x in self.stack if x.name in ("html", "body")]
         if name == "header" and not any(x.name in ROOTS for x in self.stack):
             made.aside = 1
         self.stack.append(made)
@@ -202,7 +228,7 @@ class _Reader:
         self.flush()
         self.links = 0
         for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].name == name:
+            if self.stack[i].name == name or name in ROOTS and self.stack[i].name == "section" and all(x.name != name for x in self.stack):
                 del self.stack[i:]
                 return
 
@@ -237,9 +263,20 @@ def block_features(blocks: list[Block]) -> np.ndarray:
     density = np.array([b.linked / b.words for b in blocks])
     pad = lambda x, k: np.concatenate([[0.0], x[:-1]]) if k < 0 else np.concatenate([x[1:], [0.0]])
     has_root = float(any(b.root for b in blocks))
-    own = np.array([[b.root, b.aside, b.hinted, b.heading, b.item, b.good] for b in blocks], dtype=float)
+    # Words under each telling name, and in the article (or, outside of all articles, the page) that it stands in.
+    under: dict[int, int] = {}
+    scope: dict[int, int] = {}
+    for b in blocks:
+        for number in {0, b.root}:  # 0: the whole page
+            scope[number] = scope.get(number, 0) + b.words
+        for number, _ in b.named:
+            under[number] = under.get(number, 0) + b.words
+    tells = lambda b, kind: any(k == kind and under[i] < (1.0 if kind == 2 else 0.5) * scope[b.root] for i, k in b.named)
+    own = np.array([[b.root > 0, b.aside, tells(b, 2), tells(b, 1), b.heading, b.item, b.paragraph, b.good] for b in blocks], dtype=float)
+    # In an article such a line is part of its text.
+    rights = [float(b.words < 30 and not b.root and bool(RIGHTS.search(b.text))) for b in blocks]
     return np.column_stack(
-        [words, density, pad(words, -1), pad(density, -1), pad(words, 1), pad(density, 1), own, np.full(n, has_root), [b.linked for b in blocks]]
+        [words, density, pad(words, -1), pad(density, -1), pad(words, 1), pad(density, 1), own, np.full(n, has_root), [b.linked for b in blocks], rights]
     )
 
 
@@ -277,14 +314,28 @@ EXAMPLES = (
     "<body><div class='story'><p>{c:21}</p><p>{c:2}</p></div>",
     "<body><nav>{b:3}</nav><article><p>{c:9}</p></article><footer>{b:2}</footer><aside>{b:9}</aside>",
     "<body><article><p>{c:2}</p><div class='notice'>{b:14}</div></article><div class='comments'>{b:3}</div>",
+    "<body><div>{b:1}</div><div>{b:1}</div><div>{b:2}</div><div>{c:40}</div><div>{c:65}</div><div>{c:33}</div><div>{b:r}</div>",
+    "<body><div>{b:1}</div><div>{b:3}</div><h1>{c:5}</h1><p>{c:52}</p><p>{c:4}</p><p>{c:71}</p><div>{b:2}</div><div>{b:r}</div>",
+    "<body><div>{b:1}</div><p>{c:18}</p><p>{c:6}</p><p>{c:39}</p><div>{b:4}</div><div>{b:1}</div>",
+    "<body><main><h1>{c:4}</h1><p>{c:28}</p><div>{c:3}</div><p>{c:50}</p></main><p>{b:r}</p>",
+    *(f"<body><article><p>{{c:{n}}}</p></article>" for n in (4, 5, 6, 7, 8, 11)),
+    *(f"<body><main><p>{{c:25}}</p><p>{{c:{n}}}</p></main>" for n in (1, 4, 5, 6, 7, 8)),
+    "<body><article><div class='form-of-life'><p>{c:30}</p><p>{c:5}</p><p>{c:44}</p></div></article>" + _FOOT,
+    "<body><article><p>{c:30}</p><div class='signup form'>{b:9}</div><p>{c:44}</p><div class='tags'>{b:3}</div></article>" + _FOOT,
+    "<body><article><p>{c:30}</p><p>{c:44}</p></article><div id='comments'><article class='comment-body'><p>{b:33}</p></article><article><p>{b:4}</p></article></div>",
+    "<body><main><p>{c:12}</p><p>{c:31}</p></main><aside><article><h3>{b:4}</h3><p>{b:18}</p></article></aside>",
+    "<body><div class='content'><p>{c:40}</p><div class='search-tips'><p>{c:80}</p><p>{c:7}</p></div></div><div class='login'>{b:6}</div>",
 )
-_MARK = re.compile(r"\{([cb]):(\d+)(?::(\d+))?\}")
+# {b:r} is a line of rights.
+_MARK = re.compile(r"\{([cb]):(\d+|r)(?::(\d+))?\}")
 
 
 def labelled_table() -> tuple[np.ndarray, np.ndarray]:
     """Features and labels (1: article) of the example pages' blocks."""
 
     def words(m: re.Match) -> str:
+        if m[2] == "r":
+            return "© no 2024 all rights reserved"
         n, k = int(m[2]), int(m[3] or 0)
         own = [f"{'yes' if m[1] == 'c' else 'no'}{i}" for i in range(n)]
         return (f"<a href='#'>{' '.join(own[:k])}</a> " if k else "") + " ".join(own[k:])
