@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 
 from tracegrain.llm import html_extract, language_id
@@ -126,3 +129,82 @@ def test_a_rare_declaration_keeps_its_own_likelihood(spark):
     made = [(c, lang) for c, lang, k in made for _ in range(k)]
     rows = [(i, f"http://h{i}.x{i}/", page(WORDS[lang] * 3, c)) for i, (c, lang) in enumerate(made)]
     assert run(spark, rows + [(-1, None, page("", "zz"))])[-1].lang == "fr"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><div class='form-of-life'><p>One text about a form of life.</p></div></article>", "One text about a form of life."),
+        ("<article><div class='research search-results'><p>We searched and found it all.</p></div></article>", "We searched and found it all."),
+        ("<article><p>It is here.</p></article><div id=comments><article class=comment-body><p>I disagree.</p></article></div>", "It is here."),
+        ("<article class='commentary'><p>It is here.</p></article><article class='comment'><p>I disagree.</p></article>", "It is here."),
+        ("<main><p>It is here and goes on.</p></main><aside><article><h3>Read more</h3><p>A teaser.</p></article></aside>", "It is here and goes on."),
+        ("<div>Home</div><div>" + "word " * 40 + "</div><div>" + "more " * 40 + "</div><div>© 2024 Site</div>", ("word " * 40).strip() + "\n\n" + ("more " * 40).strip()),
+        ("<div>Home</div><h1>A title of it</h1><p>" + "word " * 40 + "</p><p>Short one.</p><p>" + "more " * 40 + "</p><div>Copyright 2024</div>",
+         "A title of it\n\n" + ("word " * 40).strip() + "\n\nShort one.\n\n" + ("more " * 40).strip()),
+    ],
+)
+def test_names_are_one_kind_of_evidence(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def test_the_tree_looks_at_names_and_neighbours():
+    used, todo = set(), [html_extract.trained_tree()]
+    while todo:
+        node = todo.pop()
+        if "feature" in node:
+            used.add(html_extract.FEATURES[node["feature"]])
+            todo += [node["low"], node["high"]]
+    assert used >= {"words", "words_after", "link_density", "clear_name"}
+
+
+def posterior(rows, model, strength=4.0):
+    """The fused posterior of each page, computed plainly."""
+    import numpy as np
+
+    def soft(x):
+        e = np.exp(x - x.max())
+        return e / e.sum()
+
+    n, read = len(model.languages), []
+    for i, url, h in rows:
+        m = re.match(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@]*@)?([^/:?#]+)", url or "")
+        host = m[1].lower() if m else ""
+        loglik = model.log_likelihood(html_extract.main_text(h))
+        read.append((i, host, ".".join(host.split(".")[-2:]), host.split(".")[-1], language_id.declared_language(h), loglik, soft(loglik)))
+    counts = [dict() for _ in range(4)]
+    for r in read:
+        for table, key in zip(counts, r[1:5]):
+            table[key] = table.get(key, np.zeros(n)) + r[6]
+    hosts, domains, suffixes, declared = counts
+    total = sum(r[6] for r in read)
+    base = (total + 1) / (total.sum() + n)
+    smooth = lambda c, parent: (np.maximum(c, 0) + strength * parent) / (max(c.sum(), 0) + strength)
+    said = lambda table, key: np.log((table[key] + 1) / (total + sum(k != "" for k in table) + 1)) if key else np.zeros(n)
+    out = {}
+    for i, host, domain, suffix, code, loglik, p in read:
+        prior = smooth(hosts[host] - p, smooth(domains[domain], smooth(suffixes[suffix], base)))
+        post = soft(loglik + np.log(prior) + said(declared, code) + said(suffixes, suffix))
+        out[i] = (host, suffix, code, model.languages[int(post.argmax())], float(post.max()))
+    return out
+
+
+def test_posterior_equals_a_plain_computation(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        lang = rng.choice(list(WORDS))
+        words = " ".join(rng.choice(WORDS[lang].split()) for _ in range(rng.choice([0, 1, 3, 40, 9000 if i == 7 else 5])))
+        url = rng.choice([None, "", "not a url", f"https://{rng.choice('ab')}.{rng.choice(['shop', 'site'])}.{rng.choice(['de', 'fr', 'com'])}/p{i}", f"HTTP://user@Host{i % 3}.ORG:80/?x"])
+        rows.append((i, url, rng.choice([None, page(words, rng.choice(["", lang, "xx"])), page(words, lang)])))
+    model = language_id.train(docs(spark))
+    got = language_id.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()
+    want = posterior(rows, model)
+    assert len(got) == 60
+    for r in got:
+        assert (r.host, r.suffix, r.declared, r.lang) == want[r.page_id][:4] and abs(r.confidence - want[r.page_id][4]) < 1e-9
+
+
+def test_too_many_languages_are_an_error(spark):
+    with pytest.raises(ValueError, match="most_languages"):
+        language_id.train(docs(spark), most_languages=2)

@@ -21,8 +21,10 @@ each value has its own likelihood, however many there are.
 Defined results: a null or empty page, or one without any article text, is
 judged by its other evidence; a null url has the empty host; a page without any
 evidence gets the corpus' prior; ties go to the language first in the alphabet;
-repeated rows give repeated results; without labelled documents the result has
-null languages; an empty table gives an empty table; extra columns are ignored.
+repeated rows give repeated results; very long pages are read whole; without
+labelled documents the result has null languages; an empty table gives an empty
+table; extra columns are ignored. More than ``most_languages`` labelled languages
+are an error, before anything is collected.
 """
 
 from __future__ import annotations
@@ -95,11 +97,11 @@ def train(docs: DataFrame, sample_rows: int = 6000, effective: int = 150, most_l
             at = np.flatnonzero(own)
             yield pd.DataFrame({"lang": lang, "t": at, "n": own[at]})
 
+    languages = sorted(r["lang"] for r in sample.select("lang").distinct().limit(most_languages + 1).collect())
+    if len(languages) > most_languages:  # the table of counts would not be bounded; a larger one can be asked for
+        raise ValueError(f"more than most_languages={most_languages} languages")
     counted = sample.mapInPandas(count, "lang string, t long, n long").groupBy("lang", "t").agg(F.sum("n").alias("n"))
     frame = counted.toPandas()
-    languages = sorted(frame["lang"].unique())
-    if len(languages) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
     table = np.zeros((1 << BITS, max(len(languages), 1)))
     for k, lang in enumerate(languages):
         own = frame[frame["lang"] == lang]
