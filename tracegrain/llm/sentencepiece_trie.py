@@ -6,16 +6,18 @@ so no piece crosses a cut. The distinct words of a slice are sorted, which is th
 depth-first order of their trie: going from one word to the next, the forward
 states of the common prefix stay and only the rest is computed.
 
-Two lattices are known:
-
-* ``unigram`` vocabularies: the best sum of piece scores up to each position
-  (the usual Viterbi recursion);
-* ``bpe`` vocabularies, whose "scores" are merge ranks and whose segmentation is
-  not that of the largest sum: a piece may follow another only if merging the
-  two alone gives just these two pieces again. Merges go by rank, then from the
-  left, so a sequence is the merges' result exactly if each neighbouring pair
-  passes this test; hence every prefix has one possible last piece, and that is
-  its forward state. Results equal the library's, id for id.
+The forward pass is Viterbi's: each position holds the best score of any sequence
+of pieces that ends there, with the last piece and where it begins; the argmax is
+kept, and the path is read back from the end. What a piece adds depends on the
+kind of vocabulary:
+
+* ``unigram``: the piece's score;
+* ``bpe``, whose "scores" are merge ranks and whose segmentation is not that of
+  their largest sum: 0 after a piece that it may follow, minus infinity after any
+  other. It may follow if merging the two alone gives just these two again.
+  Merges go by rank, then from the left, so a sequence is the merges' result
+  exactly if its score is 0, the largest that there is; a position is settled by
+  the first candidate that reaches it. Results equal the library's, id for id.
 
 Characters without a piece become bytes if the vocabulary has them (else the
 unknown id). Decoding joins the pieces' bytes and takes the leading mark off.
@@ -40,6 +42,7 @@ from pyspark.sql import DataFrame
 from .worker_memory import release
 
 MARK = "▁"
+_NEVER = float("-inf")
 #: Words that a worker remembers in a generation, pairs of pieces that it remembers, and characters that it takes at once.
 _CACHE, _PAIRS, _SLICE = 220_000, 800_000, 1 << 20
 #: Codecs of this worker process, kept from one task to the next.
@@ -109,7 +112,7 @@ class TrieEncoder:
         self.known = {p: i for p, i in vocabulary.ids.items() if vocabulary.kind != "bpe" or merge(p, vocabulary) == [p]}
         self.names = dict(enumerate(vocabulary.pieces))
         self.outputs = {i: [i] for i in range(len(vocabulary.pieces))}
-        self.pairs: dict[int, bool] = {}
+        self.pairs: dict[int, float] = {}
         self.longest = max(map(len, self.known), default=1)
         # Lengths of the pieces that end in three given characters, longest first: no others need a test.
         ends: dict[str, set[int]] = {}
@@ -127,18 +130,18 @@ class TrieEncoder:
         self.outputs[number] = [byte_ids[b] for b in raw] if byte_ids else [self.vocabulary.unknown]
         return number
 
-    def _joins(self, code: int) -> bool:
-        """Whether two neighbouring pieces, numbered ``code >> 24`` and the rest, stay as they are."""
+    def _follows(self, code: int) -> float:
+        """What the piece of number ``code & 0xFFFFFF`` adds after the piece ``code >> 24``: 0, or minus infinity."""
         pair = [self.names[code >> 24], self.names[code & 0xFFFFFF]]
         if len(self.pairs) >= _PAIRS:
             self.pairs.clear()
-        known = self.pairs[code] = merge("".join(pair), self.vocabulary) == pair
+        known = self.pairs[code] = 0.0 if merge("".join(pair), self.vocabulary) == pair else _NEVER
         return known
 
     def segment(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
         """Depth-first over the trie of the sorted distinct words: each with the numbers of its pieces."""
-        unigram = self.vocabulary.kind == "unigram"
-        # At each position of the current path: the last piece and where it begins (and the best sum).
+        extend = self._extend_unigram if self.vocabulary.kind == "unigram" else self._extend_bpe
+        # At each position of the current path: the last piece, where it begins, and the best score.
         pieces, starts, sums = [-1], [0], [0.0]
         before = ""
         for word in sorted(set(words)):
@@ -147,13 +150,9 @@ class TrieEncoder:
                 if a != b:
                     break
                 shared += 1
-            del pieces[shared + 1 :], starts[shared + 1 :]
+            del pieces[shared + 1 :], starts[shared + 1 :], sums[shared + 1 :]
             self.steps += len(word) - shared
-            if unigram:
-                del sums[shared + 1 :]
-                self._extend_unigram(word, pieces, starts, sums)
-            else:
-                self._extend_bpe(word, pieces, starts)
+            extend(word, pieces, starts, sums)
             before = word
             path, at = [], len(word)
             while at:
@@ -162,9 +161,10 @@ class TrieEncoder:
             path.reverse()
             yield word, path
 
-    def _extend_bpe(self, word: str, pieces: list[int], starts: list[int]) -> None:
+    def _extend_bpe(self, word: str, pieces: list[int], starts: list[int], sums: list[float]) -> None:
         get, pair, tails = self.known.get, self.pairs.get, self.tails.get
         for end in range(len(pieces), len(word) + 1):
+            best, last, begin = _NEVER, -1, -1
             for length in tails(word[end - 3 : end], (2, 1)) if end > 2 else (2, 1):
                 start = end - length
                 if start < 0:
@@ -174,18 +174,20 @@ class TrieEncoder:
                     if length > 1:
                         continue
                     piece = self._number(word[start:end])
+                score = sums[start]
                 if start:
                     code = pieces[start] << 24 | piece
-                    joins = pair(code)
-                    if joins is None:
-                        joins = self._joins(code)
-                    if not joins:
-                        continue
-                pieces.append(piece)
-                starts.append(start)
-                break
-            else:  # cannot be, since the merges always have a result
+                    adds = pair(code)
+                    score += self._follows(code) if adds is None else adds
+                if score > best:
+                    best, last, begin = score, piece, start
+                    if score == 0.0:  # no score is larger
+                        break
+            if last < 0:  # cannot be, since the merges always have a result
                 raise AssertionError(f"no segmentation of {word[:end]!r}")
+            pieces.append(last)
+            starts.append(begin)
+            sums.append(best)
 
     def _extend_unigram(self, word: str, pieces: list[int], starts: list[int], sums: list[float]) -> None:
         scores, lost = self.vocabulary.scores, min(self.vocabulary.scores) - 10.0
