@@ -60,3 +60,22 @@ def test_extra_columns_and_clashes(spark):
 def test_written_shards(spark, tmp_path):
     sharding.write_shards(docs(spark, [(i, "t") for i in range(20)]), f"{tmp_path}/s", shards=4, seed=2)
     assert spark.read.parquet(f"{tmp_path}/s").groupBy("shard").count().where("count = 5").count() == 4
+
+
+def test_many_rows_equal_in_every_column_are_spread(spark):
+    df = docs(spark, [(7, "same")] * 5000 + [(i, f"t{i}") for i in range(1000)])
+    scattered = sharding._scatter(df, 3, 40, 6000)
+    assert max(r["count"] for r in scattered.groupBy("_bucket").count().collect()) < 400
+    got = sharding.external_shuffle(df, shards=7, seed=3).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter([(7, "same")] * 5000 + [(i, f"t{i}") for i in range(1000)])
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert len(by) == 7 and all(sorted(v) == list(range(len(v))) for v in by.values()) and {len(v) for v in by.values()} <= {857, 858}
+
+
+def test_very_long_texts_and_buckets_taken_in_turn(spark):
+    rows = [(i, "z" * (3_000_000 if i < 2 else 10)) for i in range(60)]
+    got = sharding.external_shuffle(docs(spark, rows), shards=4, most_tasks=3).collect()
+    assert sorted((r.doc_id, len(r.text)) for r in got) == [(i, len(t)) for i, t in rows]
+    assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(4) for k in range(15)]

@@ -7,9 +7,11 @@ place of a record in that order is its global position; equal cuts of the
 order are the shards, so shard sizes differ by one row at most (law ``rows``).
 
 A bucket is about ``bucket_bytes`` large whatever the table's size, since their
-number follows from the measured bytes. The hash covers every column, so
-neither a source, nor a group of equal texts under different keys, nor one key
-with many texts falls into one bucket. Bucket counts (a row for each bucket)
+number follows from the measured bytes; beyond ``most_tasks`` a task takes several
+in turn. The hash covers every column, so neither a source, nor a group of equal
+texts under different keys, nor one key with many texts falls into one bucket.
+Rows that are equal in every column and many (more than 1/4096 of all: fewer than
+4096 kinds) are counted, and scattered by kind and copy instead. Bucket counts (a row for each bucket)
 become offsets by a two-level prefix sum; no position is made on the driver.
 
 The order depends on the seed, the records and the number of partitions only:
@@ -17,8 +19,8 @@ buckets have fixed partitions and are sorted before they are shuffled, so that
 a task run again after an executor is lost gives the same rows again.
 
 Defined results: nulls are hashed like values; rows that are equal in every
-column are interchangeable (they share a bucket); an empty table gives an empty
-table; extra columns are carried along; columns named ``shard`` or ``slot`` are
+column are interchangeable (ties), and each of them has a slot of its own; very
+long texts are moved whole; an empty table gives an empty table; extra columns are carried along; columns named ``shard`` or ``slot`` are
 refused, since they would clash with the result.
 """
 
@@ -37,12 +39,30 @@ def record_bytes(df: DataFrame) -> Column:
     return sum(sizes, F.lit(8 * len(df.columns))).cast("long")
 
 
-def _bucket(df: DataFrame, seed: int, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns]), F.lit(buckets))
+def _record_hash(df: DataFrame, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])
+
+
+def _scatter(df: DataFrame, seed: int, buckets: int, rows: int, part: int = 1024) -> DataFrame:
+    """``_bucket`` and ``_record`` of every row."""
+    record = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_record")
+    hashed = df.select(_record_hash(df, seed).alias("_hash"), record)
+    counted = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(part, rows // 4096))
+    many = {r["_hash"]: r["n"] for r in counted.collect()}  # fewer than 4096
+    alone = hashed.select(F.pmod("_hash", F.lit(buckets)).alias("_bucket"), "_record", "_hash")
+    if not many:
+        return alone.drop("_hash")
+    sizes = F.broadcast(df.sparkSession.createDataFrame(list(many.items()), "_hash long, n long"))
+    kinds = hashed.join(sizes, "_hash").groupBy("_hash").agg(F.first("_record").alias("_record"), F.first("n").alias("n"))
+    parts = kinds.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / part))).alias("p")).repartition("_hash", "p")
+    last = F.least(F.col("n"), (F.col("p") + 1) * part) - 1
+    copies = parts.select("_hash", "_record", F.explode(F.sequence(F.col("p") * part, last)).alias("copy"))
+    copies = copies.select(F.pmod(F.xxhash64("_hash", "copy"), F.lit(buckets)).alias("_bucket"), "_record")
+    return alone.join(sizes, "_hash", "left_anti").drop("_hash").unionByName(copies)
 
 
 def external_shuffle(
-    df: DataFrame, shards: int, seed: int = 0, bucket_bytes: int = 8 << 20, least_buckets: int = 96
+    df: DataFrame, shards: int, seed: int = 0, bucket_bytes: int = 4 << 20, least_buckets: int = 32, most_tasks: int = 32_768
 ) -> DataFrame:
     """All rows of ``df`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each)."""
     if clash := {"shard", "slot"} & set(df.columns):
@@ -52,7 +72,8 @@ def external_shuffle(
     n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(record_bytes(df)), F.lit(0))).first()
     buckets = max(least_buckets, -(-size // bucket_bytes))
 
-    counts = df.select(_bucket(df, seed, buckets).alias("_bucket")).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    scattered = _scatter(df, seed, buckets, n)
+    counts = scattered.select("_bucket").groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.withColumn("_group", F.floor(F.col("_bucket") / _GROUP))
     inside = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
@@ -65,13 +86,12 @@ def external_shuffle(
     )
 
     # A bucket's start travels as one more row of the bucket: no join with the arrays is needed.
-    record = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    empty = F.lit(None).cast(df.select(record.alias("r")).schema["r"].dataType)
-    scattered = df.select(_bucket(df, seed, buckets).alias("_bucket"), record.alias("_record"), F.lit(None).cast("long").alias("_start"))
+    empty = F.lit(None).cast(scattered.schema["_record"].dataType)
+    scattered = scattered.select("_bucket", "_record", F.lit(None).cast("long").alias("_start"))
     scattered = scattered.unionByName(starts.select("_bucket", empty.alias("_record"), "_start"))
     orderly = F.xxhash64(F.lit(seed + 1), F.col("_record"))
     full = (
-        scattered.repartition(int(buckets), "_bucket")
+        scattered.repartition(int(min(buckets, most_tasks)), "_bucket")
         .groupBy("_bucket")
         .agg(
             F.max("_start").alias("_start"),
