@@ -66,3 +66,19 @@ def test_edges(spark):
 def test_half_of_an_item_is_no_leak(spark):
     item = " ".join(f"w{i}" for i in range(40))
     assert run(spark, [(1, " ".join(f"w{i}" for i in range(20)))], [(1, item)]) == set()
+
+
+def test_equal_containments_report_the_larger_item(spark):
+    a, b = [f"v{i}" for i in range(9)], [f"w{i}" for i in range(14)]  # 5 and 10 shingles, of which the document has 4 and 8
+    docs = spark.createDataFrame([(1, " ".join(a[:8] + ["x"] + b[:12]))], "doc_id long, text string")
+    for order in ([a, b], [b, a]):
+        items = spark.createDataFrame([(5, " ".join(t)) for t in order], "item_id long, text string")
+        row = decontaminate.find_contaminated(docs, items).collect()
+        assert [(r.item_shingles, r.shared_shingles, r.containment) for r in row] == [(10, 8, 0.8)]
+
+
+def test_columns_of_any_name(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, item, 1, 2, 3), (2, "clean", 4, 5, 6), (3, "y " * 60_000 + item, 7, 8, 9)], "doc_id long, text string, _doc int, doc int, key int")
+    kept = decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "clean", 4, 5, 6)]
