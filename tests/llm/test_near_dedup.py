@@ -161,3 +161,11 @@ def test_short_sequences_are_one_shingle(n):
     h = nd.word_hashes([b"a", b"b"])
     assert len(nd.shingle_set(h, n)) == (2 if n == 1 else 1) and len(nd.shingle_set(h[:0], n)) == 0
     assert nd.shingle_set(h, 3) != nd.shingle_set(h[:1], 3)
+
+
+def test_keep_one_with_columns_of_any_name(spark):
+    t = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, t, 1, 1, 1, 1), (2, t, 2, 2, 2, 2), (3, "x", 3, 3, 3, 3), (3, "x", 3, 3, 3, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, doc int, text_key int, _doc int, first int")
+    got = nd.keep_one(df)
+    assert got.columns == df.columns and sorted(r.doc for r in got.collect()) == [1, 3]

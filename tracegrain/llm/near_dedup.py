@@ -44,7 +44,9 @@ Defined results: null and wordless texts have no shingles, and are linked with
 nothing; rows without an id are linked with nothing and have no component id;
 fewer words than a shingle make the whole sequence one shingle; repeated rows
 are copies; different texts under one id count as different documents; an empty
-table gives an empty table; extra columns are ignored.
+table gives an empty table; very long texts are sketched whole; of several texts
+that could stand for a group the least id's does (ties: the least hash of the
+text); extra columns are ignored or carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -464,15 +466,17 @@ def keep_one(docs: DataFrame, banding: Banding = Banding(words=5, percent=80, ro
     Rows are told apart by id and text; repeated rows of one id and text stay once.
     """
     found = materialize(_grouped(docs, banding), "duplicates")
-    named = [F.col("doc").alias("_doc"), F.col("text_key").alias("_key")]
-    gone = found.where("first IS NOT NULL AND (doc <> first.doc OR text_key <> first.text_key)").select(*named).distinct()
+    gone = found.where("first IS NOT NULL AND (doc <> first.doc OR text_key <> first.text_key)").select("doc", "text_key").distinct()
     gone = materialize(gone, "dropped")
-    same = (F.col("doc_id") == F.col("_doc")) & (text_key(F.col("text")) == F.col("_key"))
-    kept = docs.join(gone, same, "left_anti")
+
+    def same(rows: DataFrame, named: DataFrame) -> Column:  # by table, since the rows may have columns of any name
+        return (rows["doc_id"] == named["doc"]) & (text_key(rows["text"]) == named["text_key"])
+
+    kept = docs.join(gone, same(docs, gone), "left_anti")
     stay = "first IS NULL OR (doc = first.doc AND text_key = first.text_key)"
     rows = found.where("doc IS NOT NULL").where(stay).groupBy("doc", "text_key").agg(F.count(F.lit(1)).alias("k"))
-    repeated = materialize(rows.where("k > 1").select(*named), "repeated")
+    repeated = materialize(rows.where("k > 1").select("doc", "text_key"), "repeated")
     if repeated.isEmpty():
         return kept
-    again = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, same, "left_anti").unionByName(again.select(*kept.columns))
+    again = kept.join(repeated, same(kept, repeated), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, same(kept, repeated), "left_anti").unionByName(again.select(*kept.columns))
