@@ -85,3 +85,17 @@ def test_long_texts_are_read_to_the_end(spark):
     far = spark.createDataFrame([(1, "w1 " * 100_000 + "vermin neighbours"), (2, "w1 " * 100_000)], "doc_id long, text string")
     got = {r.doc_id: r.score for r in toxicity.score_documents(far, model).collect()}
     assert got[1] > 0.5 > got[2]
+
+
+def test_an_id_repeated_with_many_texts_teaches_once(spark):
+    rows, labels = corpus(200)
+    rows += [(rows[0][0], f"another text {i}") for i in range(500)]
+    docs, marks = frames(spark, rows, labels)
+    seen = []
+    original = toxicity.materialize
+    toxicity.materialize = lambda df, name: seen.append(original(df, name)) or seen[-1]
+    try:
+        toxicity.train(docs, marks)
+    finally:
+        toxicity.materialize = original
+    assert seen[0].count() <= 200

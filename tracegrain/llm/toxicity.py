@@ -15,10 +15,11 @@ chosen by a hash of the id; all of them if there are fewer). Term counts over
 the sample are aggregated in Spark; the ``terms`` buckets with the largest
 likelihood-ratio statistic are kept, so common words of a long text add no noise.
 The machine is then fitted by mini-batch gradient steps (Adam) with fixed seeds
-on the sample's kept terms, a few dozen integers for each row. What reaches the
-driver is bounded by ``sample_rows`` and ``terms``, whatever the corpus holds.
+on the sample's kept terms, a few dozen integers for each row. An id teaches by
+one of its texts however often it is repeated, so what reaches the driver is
+bounded by ``sample_rows`` times ``terms``, whatever the corpus holds.
 
-Scoring reads every whole text in Arrow batches, in slices of bounded size.
+Scoring reads every whole text in Arrow batches.
 
 Defined results: null and empty texts have no terms and get the bias' score;
 repeated rows give repeated results; repeated labels of one id are toxic if any
@@ -172,7 +173,8 @@ def train(
     share = min(1.0, sample_rows / max(n, 1))
     chosen = known.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(scale)) < int(share * scale))
     # The sample has about sample_rows ids whatever the corpus holds, so it may be broadcast.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    sample = docs.select("doc_id", F.struct(F.xxhash64("text").alias("h"), "text").alias("t")).join(F.broadcast(chosen), "doc_id")
+    sample = sample.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("t").alias("t")).select("toxic", "t.text")
     sample = materialize(sample, "toxicity-sample")
 
     def count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
