@@ -123,7 +123,7 @@ def nearest(
     reach: int = 6,
     sample_rows: int = 20_000,
     cell_rows: int = 4096,
-    cell_queries: int = 1024,
+    cell_queries: int = 16_384,
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the nearest found of each query.
 
@@ -198,19 +198,24 @@ def nearest(
         queries_, entries_ = cell[mine], cell[~mine].sort_values("entry")
         if queries_.empty or entries_.empty:
             return pd.DataFrame({"query": [], "entry": [], "score": []}).astype({"query": "int64", "entry": "int64", "score": "float64"})
-        q, e = _matrix(queries_["v"]), _matrix(entries_["v"])
-        ids = entries_["entry"].to_numpy(dtype=np.int64)
-        rough = (q * q).sum(axis=1)[:, None] + (e * e).sum(axis=1)[None] - 2.0 * (q @ e.T)
+        e = _matrix(entries_["v"])
+        ids, norms = entries_["entry"].to_numpy(dtype=np.int64), (e * e).sum(axis=1)
         keep = min(k + 1, len(ids))
-        out = []
-        for i, name in enumerate(queries_["query"].to_numpy(dtype=np.int64)):
-            # All that could be among the nearest, given the rounding of the rough measure, is measured exactly.
-            edge = np.partition(rough[i], keep - 1)[keep - 1]
-            at = np.flatnonzero(rough[i] <= edge + 1e-9 * (1.0 + abs(edge) + (q[i] * q[i]).sum()))
-            d = np.sqrt(((e[at] - q[i]) ** 2).sum(axis=1))
-            best = np.lexsort((ids[at], d))[:keep]
-            out.append(pd.DataFrame({"query": name, "entry": ids[at][best], "score": d[best]}))
-        return pd.concat(out)
+        names, near, scores = [], [], []
+        for start in range(0, len(queries_), 256):  # distances of so many queries are held at once
+            part = queries_.iloc[start : start + 256]
+            q = _matrix(part["v"])
+            rough = (q * q).sum(axis=1)[:, None] + norms[None] - 2.0 * (q @ e.T)
+            for i, name in enumerate(part["query"].to_numpy(dtype=np.int64)):
+                # All that could be among the nearest, given the rounding of the rough measure, is measured exactly.
+                edge = np.partition(rough[i], keep - 1)[keep - 1]
+                at = np.flatnonzero(rough[i] <= edge + 1e-9 * (1.0 + abs(edge) + (q[i] * q[i]).sum()))
+                d = np.sqrt(((e[at] - q[i]) ** 2).sum(axis=1))
+                best = np.lexsort((ids[at], d))[:keep]
+                names.append(np.full(keep, name))
+                near.append(ids[at][best])
+                scores.append(d[best])
+        return pd.DataFrame({"query": np.concatenate(names), "entry": np.concatenate(near), "score": np.concatenate(scores)})
 
     cells = left.unionByName(right).groupBy("code", "part", "qpart")
     found = cells.applyInPandas(rank, "query long, entry long, score double")
