@@ -35,3 +35,15 @@ def test_labels_are_the_least_node_of_each_component(spark, kind):
     labels = spark.createDataFrame([(n, n) for n in nodes], "node long, root long")
     got = near_dedup.merge_labels(labels, spark.createDataFrame(edges, "a long, b long"))
     assert {r.node: r.root for r in got.collect()} == components(nodes, edges)
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace as Fake
+
+    import pytest
+
+    from tracegrain.llm import workspace
+
+    context = Fake(getConf=lambda: {}, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        workspace.shared_folder(Fake(sparkContext=context, conf=Fake(get=lambda key, other: other)))

@@ -2,12 +2,14 @@
 
 Intermediate tables go to the folder that the cluster names in
 ``spark.checkpoint.dir``: every executor sees it, so a lost executor costs a
-re-read and no lineage has to be replayed. Only where that setting is absent
-(tests, notebooks) a temporary local folder takes its place.
+re-read and no lineage has to be replayed. Only where that setting is absent in a
+session on one machine (tests, notebooks) a temporary local folder takes its
+place; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,6 +28,9 @@ def shared_folder(spark: SparkSession) -> str:
     held = spark.sparkContext.getCheckpointDir()
     if held:
         return held.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     own = tempfile.mkdtemp(prefix="tracegrain-")
     spark.sparkContext.setCheckpointDir(own)
     return f"file://{own}"
