@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -39,45 +39,61 @@ def add_time_bin(pings: DataFrame, minutes: int = 60) -> DataFrame:
     return pings.withColumn("time_bin", time_bin(F.col("datetime"), minutes))
 
 
+def _boxes(rows: DataFrame, y: str, x: str, width: float) -> DataFrame:
+    """``rows`` entered in the nine grid cells (``_y``, ``_x``) around them."""
+    around = lambda c: F.explode(F.sequence(F.floor(F.col(c) / width) - 1, F.floor(F.col(c) / width) + 1))
+    return rows.select("*", around(y).alias("_y")).select("*", around(x).alias("_x"))
+
+
 def knn_towers(points: DataFrame, towers: DataFrame, k: int = 3, key: str = "ping_id", cell_deg: float = 0.01, digits: int | None = None) -> DataFrame:
     """``key, d1..dk, tower1..towerk``: the k nearest towers by plain Euclid in degrees; ties to the smaller id.
 
     A point meets the towers of the nine grid cells around it. If its k-th
     distance there is a cell's width at most, no other tower can be nearer; the
-    rest (far from any tower) is compared with all towers, which travel as one
-    row. Neither way ranks points by a shuffle. ``digits`` rounds distances
-    before they are compared.
+    other points go on to cells four times as wide, up to cells that hold the
+    whole earth. So points near towers meet few of them, and the others as many
+    as their distance asks for. Of towers at one place only the ``k`` smallest
+    ids can be an answer. A point is never grouped; settled points have keys that
+    match nothing. ``digits`` rounds distances before they are compared.
     """
-    around = lambda c: F.explode(F.sequence(F.floor(F.col(c) / cell_deg) - 1, F.floor(F.col(c) / cell_deg) + 1))
-    tower = F.struct("tower_id", "lat", "lon")
-    t = towers.select("tower_id", "lat", "lon", around("lat").alias("_y"))
-    t = t.select("*", around("lon").alias("_x"))
-    cells = t.groupBy("_y", "_x").agg(F.collect_list(tower).alias("_t"))
+    place = Window.partitionBy("lat", "lon").orderBy("tower_id")
+    t = towers.select("tower_id", "lat", "lon").withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= k).drop("_r")
     exact = lambda t: F.sqrt(F.pow(F.col("lat") - t["lat"], 2) + F.pow(F.col("lon") - t["lon"], 2))
     distance = exact if digits is None else lambda t: F.round(exact(t), digits)
     nearest = F.slice(F.sort_array(F.transform("_t", lambda t: F.struct(distance(t).alias("d"), t["tower_id"].alias("id")))), 1, k)
-    p = points.select(key, "lat", "lon", F.floor(F.col("lat") / cell_deg).alias("_y"), F.floor(F.col("lon") / cell_deg).alias("_x"))
-    first = p.join(cells, ["_y", "_x"], "left").select(key, "lat", "lon", nearest.alias("_n"))
-    first = first.withColumn("_sure", F.coalesce((F.size("_n") == k) & (F.get("_n", F.lit(k - 1))["d"] <= cell_deg), F.lit(False)))
-    whole = towers.agg(F.collect_list(tower).alias("_t"))
-    again = first.where(~F.col("_sure")).select(key, "lat", "lon").crossJoin(F.broadcast(whole))  # one row on the right
-    found = first.where("_sure").select(key, "_n").unionByName(again.select(key, nearest.alias("_n")))
+    found = points.select(key, "lat", "lon", F.lit(False).alias("_sure"), F.lit(None).cast("array<struct<d:double,id:bigint>>").alias("_n"))
+    width = cell_deg
+    while True:
+        cells = _boxes(t, "lat", "lon", width).groupBy("_y", "_x").agg(F.collect_list(F.struct("tower_id", "lat", "lon")).alias("_t"))
+        cell = lambda c: F.floor(F.col(c) / width)  # noqa: B023, E731
+        asked = found.select(
+            "*", F.when(F.col("_sure"), F.xxhash64(key)).otherwise(cell("lat")).alias("_y"), F.when(~F.col("_sure"), cell("lon")).alias("_x")
+        )
+        met = asked.join(cells, ["_y", "_x"], "left")
+        found = met.select(key, "lat", "lon", "_sure", F.when(F.col("_sure"), F.col("_n")).otherwise(nearest).alias("_n"))
+        if width > 360:
+            break
+        sure = F.coalesce((F.size("_n") == k) & (F.get("_n", F.lit(k - 1))["d"] <= width), F.lit(False))
+        found = found.select(key, "lat", "lon", (F.col("_sure") | sure).alias("_sure"), "_n")
+        width *= 4
     part = lambda name, f: [F.get("_n", F.lit(i))[f].alias(f"{name}{i + 1}") for i in range(k)]
     return found.select(key, *part("d", "d"), *part("tower", "id"))
 
 
 def nearest_tower(points: DataFrame, towers: DataFrame, most_m: float = 300.0, key: str = "ping_id") -> DataFrame:
-    """``points`` with ``tower_id, tower_dist_m, tower_ok``: nearest in Mercator metres within ``most_m``."""
+    """``points`` with ``tower_id, tower_dist_m, tower_ok``: nearest in Mercator metres within ``most_m``.
+
+    The towers of the nine cells around a point are one array, so no point is
+    grouped or joined back.
+    """
     x, y = geo.mercator_x(F.col("lon")), geo.mercator_y(F.col("lat"))
-    around = lambda c: F.explode(F.sequence(F.floor(F.col(c) / most_m) - 1, F.floor(F.col(c) / most_m) + 1))
-    t = towers.select("tower_id", x.alias("_tx"), y.alias("_ty"))
-    t = t.select("*", around("_tx").alias("_cx"))
-    t = t.select("*", around("_ty").alias("_cy"))
-    p = points.select(key, x.alias("_x"), y.alias("_y"))
-    same = (F.floor(F.col("_x") / most_m) == F.col("_cx")) & (F.floor(F.col("_y") / most_m) == F.col("_cy"))
-    d = F.sqrt(F.pow(F.col("_x") - F.col("_tx"), 2) + F.pow(F.col("_y") - F.col("_ty"), 2))
-    found = p.join(t, same & (d <= most_m)).groupBy(key).agg(F.min(F.struct(d.alias("d"), "tower_id")).alias("_best"))
-    out = points.join(found, key, "left")
+    t = _boxes(towers.select("tower_id", x.alias("x"), y.alias("y")), "y", "x", most_m)
+    cells = t.groupBy("_y", "_x").agg(F.collect_list(F.struct("tower_id", "x", "y")).alias("_t"))
+    p = points.select("*", x.alias("_px"), y.alias("_py"))
+    p = p.select("*", F.floor(F.col("_py") / most_m).alias("_y"), F.floor(F.col("_px") / most_m).alias("_x"))
+    away = lambda t: F.sqrt(F.pow(F.col("_px") - t["x"], 2) + F.pow(F.col("_py") - t["y"], 2))
+    near = F.filter(F.transform("_t", lambda t: F.struct(away(t).alias("d"), t["tower_id"].alias("tower_id"))), lambda t: t["d"] <= most_m)
+    out = p.join(cells, ["_y", "_x"], "left").select(*points.columns, F.array_min(near).alias("_best"))
     return out.select(*points.columns, F.col("_best.tower_id").alias("tower_id"), F.col("_best.d").alias("tower_dist_m"), F.col("_best").isNotNull().alias("tower_ok"))
 
 
