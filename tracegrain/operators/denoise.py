@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.temporal import epoch_s
 from ..sources.readers import require_columns
+from .order import numbered
 
 KEYS = ("day", "deviceid")
 ORDER = ("datetime", "ping_id")
@@ -161,7 +162,7 @@ def min_points(pings: DataFrame, more_than: int = 3, keys: tuple[str, ...] = KEY
 def factorize_devices(pings: DataFrame, order: str = "ping_id") -> DataFrame:
     """``deviceid``, ``device_code``: codes from 0 by first appearance (a row for each device, not each ping)."""
     first = pings.groupBy("deviceid").agg(F.min(order).alias("_first"))
-    return first.select("deviceid", (F.dense_rank().over(Window.orderBy("_first")) - 1).cast("int").alias("device_code"))
+    return numbered(first, "_first", "device_code").select("deviceid", F.col("device_code").cast("int").alias("device_code"))
 
 
 def stages(pings: DataFrame, towers: DataFrame, radius_m: float = 10.0, repeat: int = 150_000, more_than: int = 3, compat: bool = False) -> dict[str, DataFrame]:

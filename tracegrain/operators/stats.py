@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.temporal import epoch_s
 from .denoise import KEYS, device_window
+from .order import numbered
 
 KM_PER_DEGREE = 111
 
@@ -200,8 +203,8 @@ def zones_involved(zones: DataFrame, transitions: DataFrame) -> DataFrame:
 
 
 def systematic_sample(df: DataFrame, every: int, order: str = "ping_id") -> DataFrame:
-    """Every n-th row in the order of a dense key: the first, then each ``every`` after it."""
-    return df.withColumn("_r", F.row_number().over(Window.orderBy(order))).where(F.col("_r") % every == 1).drop("_r")
+    """Every n-th row in the order of a whole-number key: the first, then each ``every`` after it."""
+    return numbered(df, order, "_r").where(F.col("_r") % every == 0).drop("_r")
 
 
 def fixed_sample(df: DataFrame, n: int, seed: int = 42, key: str = "ping_id") -> DataFrame:
@@ -212,3 +215,20 @@ def fixed_sample(df: DataFrame, n: int, seed: int = 42, key: str = "ping_id") ->
 def balanced_parts(pings: DataFrame, parts: int = 32) -> DataFrame:
     """``pings`` dealt over ``parts`` partitions by device; adaptive execution splits what is skewed."""
     return pings.repartition(parts, "deviceid")
+
+
+def greedy_split(pings: DataFrame, parts: int = 32, most_devices: int = 5_000_000) -> DataFrame:
+    """``deviceid, n, part``: each device, by rising id, goes to the part with the fewest rows so far (ties: the first).
+
+    Each choice depends on all before, so it is made on the driver over the
+    counts of the devices, whose number is checked before; pings stay where they are.
+    """
+    counts = pings.where(F.col("deviceid").isNotNull()).groupBy("deviceid").agg(F.count(F.lit(1)).alias("n"))
+    if (devices := counts.count()) > most_devices:
+        raise ValueError(f"{devices} devices are more than {most_devices}")
+    loads, rows = [(0, i) for i in range(parts)], []
+    for device, n in counts.orderBy("deviceid").toLocalIterator():
+        size, part = heapq.heappop(loads)
+        heapq.heappush(loads, (size + n, part))
+        rows.append((device, n, part))
+    return pings.sparkSession.createDataFrame(rows, f"deviceid {dict(pings.dtypes)['deviceid']}, n long, part int")
