@@ -19,20 +19,22 @@ from ..functions.temporal import epoch_s
 
 
 def _labels(n: int, neighbours: Callable[[int], np.ndarray], least: int) -> np.ndarray:
-    """DBSCAN labels, given the neighbours (self included) of a point; -1 is noise."""
-    near = [neighbours(i) for i in range(n)]
-    core = np.array([len(x) >= least for x in near], dtype=bool)
+    """DBSCAN labels, given the neighbours (self included) of a point; -1 is noise.
+
+    Neighbours are asked for again when they are needed, so that memory is linear
+    in the points however many of them are near each other.
+    """
+    core = np.fromiter((len(neighbours(i)) >= least for i in range(n)), dtype=bool, count=n)
     label, k = np.full(n, -1), 0
     for i in range(n):
         if label[i] != -1 or not core[i]:
             continue
         label[i], todo = k, [i]
         while todo:
-            for j in near[todo.pop()]:
-                if label[j] == -1:
-                    label[j] = k
-                    if core[j]:
-                        todo.append(j)
+            near = neighbours(todo.pop())
+            new = near[label[near] == -1]
+            label[new] = k
+            todo += new[core[new]].tolist()
         k += 1
     return label
 
@@ -69,6 +71,17 @@ def haversine_labels(lat: np.ndarray, lon: np.ndarray, eps_rad: float, least: in
     return _labels(len(lat), near, least)
 
 
+def haversine_matrix(pings: DataFrame, keys: tuple[str, ...] = ("day", "deviceid")) -> DataFrame:
+    """``keys, a, b, metres``: distances of all pairs of a group's pings, each pair in both orders and with itself.
+
+    The matrix is what is asked for, so it has the square of a group's rows; ask
+    for few devices.
+    """
+    p = pings.select(*keys, F.col("ping_id").alias("a"), F.col("lat").alias("_y"), F.col("lon").alias("_x"))
+    q = pings.select(*keys, F.col("ping_id").alias("b"), F.col("lat").alias("_v"), F.col("lon").alias("_u"))
+    return p.join(q, list(keys)).select(*keys, "a", "b", geo.haversine_m(F.col("_y"), F.col("_x"), F.col("_v"), F.col("_u")).alias("metres"))
+
+
 def dbscan(pings: DataFrame, eps_rad: float = 0.001, least: int = 5, keys: tuple[str, ...] = ("day", "deviceid")) -> DataFrame:
     """Adds ``cluster``: DBSCAN of each group's coordinates; -1 is noise."""
 
@@ -83,10 +96,14 @@ def dbscan(pings: DataFrame, eps_rad: float = 0.001, least: int = 5, keys: tuple
 def dbscan_core(pings: DataFrame, eps_rad: float = 0.001, least: int = 5, keys: tuple[str, ...] = ("day", "deviceid")) -> DataFrame:
     """``ping_id, neighbours, is_core``: the exact part of DBSCAN as a join on grid cells within a group."""
     step = math.degrees(eps_rad)
-    p = pings.select(*keys, "ping_id", "lat", "lon", F.floor(F.col("lat") / step).alias("_y"))
-    q = p.select(*keys, F.col("lat").alias("_qlat"), F.col("lon").alias("_qlon"), F.explode(F.array(F.col("_y") - 1, F.col("_y"), F.col("_y") + 1)).alias("_y"))
+    # Near a pole a distance spans more degrees of longitude, hence more cells (the date line is an edge).
+    wide = step / F.cos(F.radians(F.least(F.abs("lat") + step, F.lit(89.0))))
+    across = F.sequence(F.floor((F.col("lon") - wide) / step), F.floor((F.col("lon") + wide) / step))
+    p = pings.select(*keys, "ping_id", "lat", "lon", F.floor(F.col("lat") / step).alias("_y"), F.floor(F.col("lon") / step).alias("_x"))
+    q = p.select(*keys, F.col("lat").alias("_qlat"), F.col("lon").alias("_qlon"), F.explode(F.array(F.col("_y") - 1, F.col("_y"), F.col("_y") + 1)).alias("_y"), across.alias("_x"))
+    q = q.withColumn("_x", F.explode("_x"))
     close = geo.haversine_arcsin_m(F.col("lat"), F.col("lon"), F.col("_qlat"), F.col("_qlon")) <= eps_rad * geo.EARTH_RADIUS_M
-    pairs = p.join(q, [*keys, "_y"]).where(close)
+    pairs = p.join(q, [*keys, "_y", "_x"]).where(close)
     return pairs.groupBy("ping_id").agg(F.count(F.lit(1)).alias("neighbours")).withColumn("is_core", F.col("neighbours") >= least)
 
 
@@ -150,11 +167,12 @@ def spectral_labels(affinity: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
     return label
 
 
-def zone_clusters(od_log: DataFrame, k: int = 10, seed: int = 42, most_zones: int = 20_000) -> DataFrame:
+def zone_clusters(od_log: DataFrame, k: int = 10, seed: int = 42, most_zones: int = 3_000) -> DataFrame:
     """``zone_id, cluster`` by spectral clustering of log flows, both directions added.
 
-    The zones' matrix is reference-sized (a few thousand squared); its size is
-    checked before it is collected.
+    The zones' matrix is reference-sized; the limit is what its dense copies and
+    the eigenvectors (about 300 MB at 3000 zones) leave a driver to live with, and
+    it is checked before anything is collected.
     """
     zones = od_log.select(F.col("from_zone").alias("zone_id")).distinct().orderBy("zone_id")
     if (n := zones.count()) > most_zones:

@@ -29,6 +29,7 @@ def kmeans_modes(features: DataFrame, seeds: int = 10, seed: int = 42) -> DataFr
     with ThreadPool(4) as pool:  # the runs' small jobs fill the cluster together
         models = pool.map(fit, range(seeds))
     best = min(models, key=lambda m: m.summary.trainingCost)
+    x.unpersist()
     centres = [c[0] for c in best.clusterCenters()]
     out = label_modes(best.transform(x), centres)
     return out.drop("_a", "_b", "_x", "_c")
