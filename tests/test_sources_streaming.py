@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,11 +32,22 @@ def test_csv_and_geojson(spark, tmp_path):
     z = readers.read_zones_geojson(spark, f"{tmp_path}/z.json")
     assert sorted((r.zone_id, len(r.ring)) for r in z.collect()) == [(0, 4), (9, 4)]
     readers.write_zones_geojson(z, f"{tmp_path}/zo")
-    assert json.loads(spark.read.text(f"{tmp_path}/zo").first()[0])["geometry"]["type"] == "Polygon"
+    assert [f["geometry"]["type"] for f in json.loads(spark.read.text(f"{tmp_path}/zo").first()[0])["features"]] == ["Polygon"] * 2
+    assert sorted(map(tuple, readers.read_zones_geojson(spark, f"{tmp_path}/zo").collect())) == sorted(map(tuple, z.collect()))
+    with pytest.raises(ValueError, match="EPSG:1"):
+        readers.read_zones_geojson(spark, f"{tmp_path}/z.json", crs="EPSG:1")
     readers.write_csv(z.select("zone_id"), f"{tmp_path}/c")
     assert spark.read.csv(f"{tmp_path}/c", header=True).count() == 2
 
 
+def test_geometries_of_either_byte_order(spark, tmp_path):
+    line = lambda e: struct.pack(f"{e}BII4d", int(e == "<"), 2, 2, 14.0, 46.0, 15.0, 47.0)
+    rows = [(1, line("<")), (2, line(">")), (3, None), (4, struct.pack("<BI2d", 1, 1, 14.0, 46.0))]
+    spark.createDataFrame(rows, "id int, geometry binary").write.parquet(f"{tmp_path}/r")
+    got = {r.id: r.geometry and [tuple(p) for p in r.geometry] for r in readers.read_geoparquet(spark, f"{tmp_path}/r").collect()}
+    assert got == {1: [(14.0, 46.0), (15.0, 47.0)], 2: [(14.0, 46.0), (15.0, 47.0)], 3: None, 4: None}
+
+
 def test_missing_columns_are_named(spark):
     with pytest.raises(ValueError, match="lat"):
         readers.require_columns(spark.range(1), "lat")

@@ -1,13 +1,16 @@
 """Zones, transitions, stays, modes and clusters on small hand-made inputs."""
 
 import datetime as dt
+import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tracegrain.functions import geo, temporal
-from tracegrain.operators import clustering, features, modes, stays, transitions, zones
+from tracegrain.operators import clustering, features, modes, stats, stays, transitions, zones
+from tracegrain.operators.order import numbered
 
 DAY, START = dt.date(2023, 3, 27), dt.datetime(2023, 3, 27, 8)
 
@@ -125,3 +128,28 @@ def test_mixture_finds_two_components(spark):
     rows = [(1, float(x), float(y)) for x, y in np.concatenate([rng.normal(0, 0.1, (60, 2)), rng.normal(5, 0.1, (40, 2))])]
     got = clustering.gmm_by_zone(spark.createDataFrame(rows, "zone_id int, lat double, lon double")).orderBy("component").collect()
     assert [round(r.mean_lat) for r in got] == [0, 5] and got[0].weight == pytest.approx(0.6, abs=0.02)
+
+
+def test_nearest_towers_far_and_tied(spark):
+    rng = random.Random(2)
+    towers = [(i, 46 + rng.randrange(6) / 50, 14 + rng.randrange(6) / 50) for i in range(60)]
+    points = [(i, 46 + rng.random() / 5, 14 + rng.random() / 5) for i in range(80)] + [(90, -89.0, 179.9), (91, 89.0, -179.9), (92, 46.0, 14.0)]
+    got = zones.knn_towers(spark.createDataFrame(points, "ping_id long, lat double, lon double"), spark.createDataFrame(towers, "tower_id long, lat double, lon double"))
+    assert got.count() == len(points)
+    for r in got.collect():
+        y, x = next((y, x) for i, y, x in points if i == r.ping_id)
+        want = sorted((math.sqrt((y - b) ** 2 + (x - c) ** 2), a) for a, b, c in towers)[:3]
+        assert [r.tower1, r.tower2, r.tower3] == [a for _, a in want] and abs(r.d3 - want[2][0]) < 1e-9
+    few = zones.knn_towers(spark.createDataFrame(points, "ping_id long, lat double, lon double"), spark.createDataFrame(towers[:2], "tower_id long, lat double, lon double")).collect()
+    assert len(few) == len(points) and all(r.d2 is not None and r.d3 is None for r in few)
+
+
+def test_numbers_and_greedy_parts(spark):
+    values = [5, 1, 900, 901, 902, -7, 3, 1_000_000_000_000]
+    got = numbered(spark.createDataFrame([(v,) for v in values], "v long"), "v", "r", rows=2).collect()
+    assert {x.v: x.r for x in got} == {v: i for i, v in enumerate(sorted(values))}
+    assert numbered(spark.createDataFrame([], "v long"), "v", "r").count() == 0
+    pings = spark.createDataFrame([(i,) for i, n in enumerate([5, 3, 4, 1, 1, 2]) for _ in range(n)] + [(None,)], "deviceid long")
+    assert sorted(map(tuple, stats.greedy_split(pings, 3).collect())) == [(0, 5, 0), (1, 3, 1), (2, 4, 2), (3, 1, 1), (4, 1, 1), (5, 2, 2)]
+    with pytest.raises(ValueError, match="devices"):
+        stats.greedy_split(pings, 3, most_devices=5)

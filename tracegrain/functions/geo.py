@@ -71,6 +71,14 @@ def mercator_y(lat: Column) -> Column:
     return F.lit(MERCATOR_RADIUS_M) * F.log(F.tan(F.lit(np.pi / 4) + F.radians(lat) / 2))
 
 
+def mercator_lon(x: Column) -> Column:
+    return F.degrees(x / MERCATOR_RADIUS_M)
+
+
+def mercator_lat(y: Column) -> Column:
+    return F.degrees(2 * F.atan(F.exp(y / MERCATOR_RADIUS_M)) - F.lit(np.pi / 2))
+
+
 def point_within(lon: Column, lat: Column, ring: Column) -> Column:
     """Whether a point lies strictly inside a closed ring of ``struct<lon, lat>``: edges are outside.
 

@@ -6,31 +6,34 @@ two engines' libraries differ in the last digits; times are compared as text.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geo, temporal
 from ..operators import clustering, denoise, features, modes, stats, stays, transitions, zones
+from ..session import shared_folder
 from ..sources import fixtures, readers
 from ..streaming.zone_counts import windowed_zone_counts
 from . import mobility
 from .mobility import binned, cleaned, rounded
-from .sql import query
+from .sql import CLUSTERS, VINCENTY, query
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def entry(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under a name, with the SQL that gives the same rows."""
+def entry(name: str, sql: str | None = None, before: str = "") -> Callable[[Query], Query]:
+    """Register a query under a name, with the SQL that gives the same rows (``before``: recursive expressions that it reads)."""
 
     def register(run: Query) -> Query:
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = query(sql)
+            ORACLES[name] = query(sql, before)
         return run
 
     return register
@@ -119,6 +122,24 @@ def sample_fixed(spark, d):
     return ids(stats.fixed_sample(pings(spark, d), 500))
 
 
+_PARTS = 8
+
+
+@entry(
+    "greedy_split",
+    "SELECT deviceid, n, part FROM dealt",
+    before=f"""ranked AS (SELECT deviceid, n, row_number() OVER (ORDER BY deviceid) AS r FROM counts),
+dealt AS (
+  SELECT deviceid, n, r, CAST(0 AS INTEGER) AS part, list_transform(range({_PARTS}), lambda i: CASE WHEN i = 0 THEN n ELSE 0 END) AS loads FROM ranked WHERE r = 1
+  UNION ALL
+  SELECT k.deviceid, k.n, k.r, CAST(list_position(loads, list_min(loads)) - 1 AS INTEGER),
+         list_transform(range({_PARTS}), lambda i: loads[i + 1] + CASE WHEN i = list_position(loads, list_min(loads)) - 1 THEN k.n ELSE 0 END)
+  FROM dealt d JOIN ranked k ON k.r = d.r + 1)""",
+)
+def greedy_split(spark, d):
+    return stats.greedy_split(pings(spark, d), _PARTS)
+
+
 @entry("union_parts", "SELECT ping_id, lat, lon FROM pings")
 def union_parts(spark, d):
     p = pings(spark, d).select("ping_id", "lat", "lon")
@@ -141,6 +162,95 @@ def mercator(spark, d):
     return rounded(pings(spark, d).select("ping_id", geo.mercator_x(F.col("lon")).alias("x"), geo.mercator_y(F.col("lat")).alias("y")), 4)
 
 
+# --- sources and sinks: written to the shared folder and read back ----------------------------
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@entry("schema_peek", "SELECT place, name FROM (VALUES (0, 'event_id'), (1, 'ts'), (2, 'user_id'), (3, 'event_type'), (4, 'value'), (5, 'props')) v(place, name)")
+def schema_peek(spark, d):
+    names = readers.schema_names(fixtures.table(spark, d, "events"))
+    return spark.createDataFrame(list(enumerate(names)), "place int, name string")
+
+
+@entry("scan_day_files", "SELECT ping_id, lat, CASE WHEN ping_id % 2 = 0 THEN '2023-03-27' ELSE '2023-03-28' END AS day FROM pings")
+def scan_day_files(spark, d):
+    path, p = _scratch(spark, "days"), pings(spark, d).drop("day")
+    for rest, day in ((0, "20230327"), (1, "20230328")):
+        p.where(F.col("ping_id") % 2 == rest).write.parquet(f"{path}/{day}.parquet")
+    p.limit(5).write.parquet(f"{path}/towers.parquet")
+    return at_text(readers.read_days(spark, f"{path}/*.parquet", skip=("towers.parquet",), columns=("ping_id", "lat")), "day")
+
+
+@entry("write_day_folders", "SELECT ping_id, deviceid, lat, lon FROM pings WHERE day = DATE '2023-03-27' AND ping_id % 3 = 0")
+def write_day_folders(spark, d):
+    path = _scratch(spark, "folders")
+    day = F.when(F.col("ping_id") % 3 == 0, F.col("day")).otherwise(F.date_add("day", 1))
+    readers.write_days(pings(spark, d).withColumn("day", day), path)
+    return spark.read.parquet(path).where(F.col("day") == F.lit("2023-03-27").cast("date")).select("ping_id", "deviceid", "lat", "lon")
+
+
+@entry("write_with_schema", "SELECT CAST(ping_id AS INTEGER) AS ping_id, CAST(deviceid AS VARCHAR) AS deviceid, CAST(datetime AS VARCHAR) AS datetime FROM pings")
+def write_with_schema(spark, d):
+    path = _scratch(spark, "typed")
+    schema = T.StructType([T.StructField("ping_id", T.IntegerType()), T.StructField("deviceid", T.StringType()), T.StructField("datetime", T.TimestampNTZType())])
+    readers.write_as(pings(spark, d), path, schema)
+    return at_text(spark.read.schema(schema).parquet(path), "datetime")
+
+
+_COUNTRY = "CASE WHEN s_nationkey % 2 = 0 THEN 'Slovenia' ELSE 'Croatia' END"
+
+
+@entry("csv_towers", f"SELECT lon AS \"LON\", lat AS \"LAT\" FROM towers JOIN (SELECT s_suppkey AS tower_id, {_COUNTRY} AS c FROM supplier) USING (tower_id) WHERE c = 'Slovenia'")
+def csv_towers(spark, d):
+    path = _scratch(spark, "towers")
+    country = fixtures.table(spark, d, "supplier").select(F.col("s_suppkey").alias("tower_id"), F.expr(_COUNTRY).alias("Country"))
+    t = fixtures.towers(spark, d).join(country, "tower_id").select(F.col("lon").alias("LON"), F.col("lat").alias("LAT"), "Country", F.lit("Europe").alias("Continent"))
+    readers.write_csv(t, path)
+    return readers.read_towers_csv(spark, path, "Slovenia").select("LON", "LAT")
+
+
+@entry("write_csv", "SELECT CAST(from_zone AS VARCHAR) AS from_zone, CAST(to_zone AS VARCHAR) AS to_zone, CAST(n AS VARCHAR) AS n FROM od")
+def write_csv(spark, d):
+    path = _scratch(spark, "od")
+    readers.write_csv(transitions.od_matrix(mobility.dwell_transitions(spark, d)), path)
+    return spark.read.csv(path, header=True)
+
+
+_CORNERS = """SELECT zone_id, round(14.29e0 + 0.03e0 * (zone_id % 15), 6) AS west, round(45.891e0 + 0.02e0 * (zone_id // 15), 6) AS south,
+  round(14.29e0 + 0.03e0 * (zone_id % 15 + 1), 6) AS east, round(45.891e0 + 0.02e0 * (zone_id // 15 + 1), 6) AS north FROM zones"""
+
+
+def _corners(z: DataFrame) -> DataFrame:
+    return rounded(z.select("zone_id", *[F.col("ring")[i][c].alias(n) for n, i, c in (("west", 0, "lon"), ("south", 0, "lat"), ("east", 2, "lon"), ("north", 2, "lat"))]))
+
+
+@entry("zones_reproject", _CORNERS)
+def zones_reproject(spark, d):
+    path = _scratch(spark, "zones")
+    metres = F.transform("ring", lambda p: F.struct(geo.mercator_x(p["lon"]).alias("lon"), geo.mercator_y(p["lat"]).alias("lat")))
+    readers.write_zones_geojson(fixtures.zones(spark).withColumn("ring", metres), path)
+    return _corners(readers.read_zones_geojson(spark, path, crs="EPSG:3857"))
+
+
+@entry("geoparquet_scan", _CORNERS)
+def geoparquet_scan(spark, d):
+    path = _scratch(spark, "roads")
+    fixtures.zones(spark).select("zone_id", readers.ring_wkb("ring").alias("geometry")).write.parquet(path)
+    return _corners(readers.read_geoparquet(spark, path).withColumnRenamed("geometry", "ring"))
+
+
+@entry("folder_sizes", "SELECT true AS found, CAST(3 AS BIGINT) AS files")
+def folder_sizes(spark, d):
+    path = _scratch(spark, "sizes")
+    for i in range(3):
+        spark.range(10).coalesce(1).write.parquet(f"{path}/part={i}")
+    s = readers.folder_sizes(spark, path).where(F.col("name").endswith(".parquet"))
+    return s.agg((F.min("bytes") > 0).alias("found"), F.count(F.lit(1)).alias("files"))
+
+
 # --- deltas and speeds ---------------------------------------------------------------------
 
 
@@ -183,7 +293,7 @@ def speed_kmh(spark, d):
     return rounded(stats.speed_kmh(pings(spark, d)).select("ping_id", "speed_kmh"), 4)
 
 
-@entry("speed_kmh_geodesic")
+@entry("speed_kmh_geodesic", f"SELECT ping_id, round(m / gap * 3.6e0, 4) AS speed_kmh FROM ({VINCENTY}) UNION ALL SELECT ping_id, NULL FROM meters WHERE gap IS NULL OR gap <= 0")
 def speed_kmh_geodesic(spark, d):
     return rounded(stats.speed_kmh(pings(spark, d), ellipsoid=True).select("ping_id", "speed_kmh"), 4)
 
@@ -298,7 +408,9 @@ def denoise_report(spark, d):
 
 @entry("zones_load", "SELECT zone_id, CAST(5 AS INTEGER) AS corners FROM zones")
 def zones_load(spark, d):
-    return fixtures.zones(spark).select("zone_id", F.size("ring").alias("corners"))
+    path = _scratch(spark, "zones")
+    readers.write_zones_geojson(fixtures.zones(spark), path)
+    return readers.read_zones_geojson(spark, path).select("zone_id", F.size("ring").alias("corners"))
 
 
 @entry("zone_assign", "SELECT ping_id, zone_id FROM zoned")
@@ -480,9 +592,9 @@ def od_dense_log(spark, d):
     return rounded(transitions.od_dense(mobility.dwell_transitions(spark, d)))
 
 
-@entry("od_pivot", "SELECT from_zone, " + ", ".join(f'CAST(coalesce(sum(n) FILTER (to_zone = {z}), 0) AS BIGINT) AS "{z}"' for z in (0, 1, 2, 15, 16, 17)) + " FROM od GROUP BY from_zone")
+@entry("od_pivot", "SELECT from_zone, " + ", ".join(f'CAST(coalesce(sum(n) FILTER (to_zone = {z}), 0) AS BIGINT) AS "{z}"' for z in fixtures.ZONE_IDS) + " FROM od GROUP BY from_zone")
 def od_pivot(spark, d):
-    return transitions.od_pivot(mobility.dwell_transitions(spark, d), [0, 1, 2, 15, 16, 17])
+    return transitions.od_pivot(mobility.dwell_transitions(spark, d), fixtures.ZONE_IDS)
 
 
 # --- statistics ------------------------------------------------------------------------------
@@ -718,7 +830,23 @@ def modes_hmm(spark, d):
     return modes.hmm_modes(m).select("zone_id", "time_bin", "mode_hmm")
 
 
-@entry("modes_hmm_smoothed")
+_LN = {"stay": "ln((1 - 0.9e0) / 3 + (0.9e0 - (1 - 0.9e0) / 3))", "move": "ln((1 - 0.9e0) / 3)", "same": "ln(0.1e0 / 3 + (1 - 0.1e0 - 0.1e0 / 3))", "slip": "ln(0.1e0 / 3)"}
+_STEP = "list_transform([1, 2, 3, 4], lambda p: best[p] + CASE WHEN p = s THEN {stay} ELSE {move} END)".format(**_LN)
+_EMIT = "CASE WHEN o = s THEN {same} ELSE {slip} END".format(**_LN)
+
+
+@entry(
+    "modes_hmm_smoothed",
+    f"""SELECT q.zone_id, q.time_bin, q.mode_kmeans, (['Walk', 'Bike', 'Car', 'Others'])[path[CAST(q.r AS INTEGER)]] AS mode_hmm
+        FROM seq q JOIN (SELECT zone_id, paths[list_position(best, list_max(best))] AS path FROM (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY r DESC) AS x FROM walk) WHERE x = 1) w USING (zone_id)""",
+    before=f"""seq AS (SELECT *, list_position(['Walk', 'Bike', 'Car', 'Others'], mode_kmeans) AS o, row_number() OVER (PARTITION BY zone_id ORDER BY time_bin) AS r FROM ({_MODE_SQL})),
+walk AS (
+  SELECT zone_id, r, list_transform([1, 2, 3, 4], lambda s: {_EMIT} - ln(4e0)) AS best, list_transform([1, 2, 3, 4], lambda s: [s]) AS paths FROM seq WHERE r = 1
+  UNION ALL
+  SELECT q.zone_id, q.r, list_transform([1, 2, 3, 4], lambda s: list_max({_STEP}) + {_EMIT}),
+         list_transform([1, 2, 3, 4], lambda s: list_append(paths[list_position({_STEP}, list_max({_STEP}))], s))
+  FROM walk w JOIN seq q ON q.zone_id = w.zone_id AND q.r = w.r + 1)""",
+)
 def modes_hmm_smoothed(spark, d):
     m = modes.fixed_modes(mobility.zone_hour_features(spark, d), _CENTRES).select("zone_id", "time_bin", "mode_kmeans")
     return modes.hmm_modes(m, slip=0.1)
@@ -729,22 +857,34 @@ def zone_clusters(spark, d):
     return clustering.zone_clusters(transitions.od_dense(mobility.dwell_transitions(spark, d)))
 
 
-@entry("dbscan")
+_NEAR = "2 * asin(sqrt(least(1e0, pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(b.lon) - radians(a.lon)) / 2), 2))))"
+
+
+@entry("dbscan", "SELECT a AS ping_id, g AS deviceid, cluster FROM labels", before=CLUSTERS.format(rows="SELECT *, deviceid AS g FROM pings", near=f"a.day = b.day AND {_NEAR} <= 0.001e0"))
 def dbscan(spark, d):
     return clustering.dbscan(pings(spark, d).drop("datetime")).select("ping_id", "deviceid", "cluster")
 
 
-@entry("dbscan_by_zone")
+@entry("dbscan_by_zone", "SELECT a AS ping_id, g AS zone_id, cluster FROM labels", before=CLUSTERS.format(rows="SELECT *, zone_id AS g FROM inside", near=f"{_NEAR} <= 0.0009e0"))
 def dbscan_by_zone(spark, d):
     p = binned(spark, d).select("ping_id", "zone_id", "lat", "lon")
     return clustering.dbscan(p, eps_rad=0.0009, keys=("zone_id",)).select("ping_id", "zone_id", "cluster")
 
 
-@entry("st_dbscan")
+@entry(
+    "st_dbscan",
+    "SELECT a AS ping_id, g AS deviceid, cluster FROM labels",
+    before=CLUSTERS.format(rows="SELECT *, deviceid AS g FROM pings", near=f"a.day = b.day AND sqrt(pow(6371000e0 * {_NEAR}, 2) + pow(epoch(b.datetime) - epoch(a.datetime), 2)) <= 500"),
+)
 def st_dbscan(spark, d):
     return clustering.st_dbscan(pings(spark, d), eps=500.0, per_second=1.0).select("ping_id", "deviceid", "cluster")
 
 
+@entry("haversine_matrix", f"SELECT a.ping_id AS a, b.ping_id AS b, round(6371000e0 * {_NEAR}, 4) AS metres FROM pings a JOIN pings b USING (day, deviceid) WHERE deviceid = 7")
+def haversine_matrix(spark, d):
+    return rounded(clustering.haversine_matrix(pings(spark, d).where(F.col("deviceid") == 7)).select("a", "b", "metres"), 4)
+
+
 @entry(
     "dbscan_core_points",
     """SELECT a.ping_id, count(*) AS neighbours, count(*) >= 5 AS is_core FROM pings a JOIN pings b ON a.deviceid = b.deviceid AND a.day = b.day

@@ -145,10 +145,41 @@ hops AS (SELECT x.day, x.deviceid, x.r, min(y.r) AS nxt FROM prev x JOIN prev y
 scan AS (SELECT * FROM hops WHERE r = 1 UNION ALL SELECT h.* FROM scan s JOIN hops h ON h.day = s.day AND h.deviceid = s.deviceid AND h.r = s.nxt)"""
 
 
-def query(select: str) -> str:
-    """``select`` with the table expressions that it needs, directly or not."""
+#: DBSCAN labels: cores reach each other from those that have no earlier core near; clusters are numbered by their first core, and a border point is of its first cluster.
+CLUSTERS = """place AS MATERIALIZED ({rows}),
+near AS MATERIALIZED (SELECT a.g, a.ping_id AS a, b.ping_id AS b FROM place a JOIN place b ON a.g = b.g WHERE {near}),
+core AS MATERIALIZED (SELECT a FROM near GROUP BY a HAVING count(*) >= 5),
+link AS MATERIALIZED (SELECT g, a, b FROM near WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)),
+reach AS (SELECT a AS x, a AS r FROM core WHERE a NOT IN (SELECT a FROM link WHERE b < a) UNION SELECT l.b, reach.r FROM reach JOIN link l ON l.a = reach.x),
+root AS (SELECT x, min(r) AS r FROM reach GROUP BY x),
+numbered AS (SELECT x, CAST(dense_rank() OVER (PARTITION BY g ORDER BY r) - 1 AS INTEGER) AS k FROM root JOIN place ON ping_id = x),
+labels AS (
+  SELECT p.ping_id AS a, p.g, coalesce(c.k, e.k, -1) AS cluster FROM place p LEFT JOIN numbered c ON c.x = p.ping_id
+  LEFT JOIN (SELECT near.a, min(k) AS k FROM near JOIN numbered ON x = near.b GROUP BY near.a) e ON e.a = p.ping_id)"""
+
+
+def _vincenty(turns: int = 12) -> str:
+    """``ping_id, gap, m``: metres on the ellipsoid from a device's ping to its next, by so many turns of the inverse formula."""
+    f, a = "(1 / 298.257223563e0)", "6378137e0"
+    at = "*, sin(lam) AS sl, cos(lam) AS cl, sqrt(pow(cos(u2) * sl, 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cl, 2)) AS s, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cl AS c"
+    at += ", atan2(s, c) AS sigma, CASE WHEN s = 0 THEN 0e0 ELSE cos(u1) * cos(u2) * sl / s END AS sa, 1 - sa * sa AS ca2, CASE WHEN ca2 = 0 THEN 0e0 ELSE c - 2 * sin(u1) * sin(u2) / ca2 END AS cm"
+    at += f", {f} / 16 * ca2 * (4 + {f} * (4 - 3 * ca2)) AS k"
+    text = f"SELECT ping_id, gap, atan((1 - {f}) * tan(radians(plat))) AS u1, atan((1 - {f}) * tan(radians(lat))) AS u2, radians(lon - plon) AS len, radians(lon - plon) AS lam FROM meters WHERE gap > 0"
+    for _ in range(turns):
+        text = f"SELECT ping_id, gap, u1, u2, len, len + (1 - k) * {f} * sa * (sigma + k * s * (cm + k * c * (2 * cm * cm - 1))) AS lam FROM (SELECT {at} FROM ({text}))"
+    b = f"((1 - {f}) * {a})"
+    big = f"*, ca2 * ({a} * {a} - {b} * {b}) / ({b} * {b}) AS u, 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))) AS big_a, u / 1024 * (256 + u * (-128 + u * (74 - 47 * u))) AS big_b"
+    d = "big_b * s * (cm + big_b / 4 * (c * (2 * cm * cm - 1) - big_b / 6 * cm * (4 * s * s - 3) * (4 * cm * cm - 3)))"
+    return f"SELECT ping_id, gap, CASE WHEN s = 0 THEN 0e0 ELSE {b} * big_a * (sigma - {d}) END AS m FROM (SELECT {big} FROM (SELECT {at} FROM ({text})))"
+
+
+VINCENTY = _vincenty()
+
+
+def query(select: str, before: str = "") -> str:
+    """``select`` with the table expressions that it and ``before``, its own recursive ones, need."""
     needed: set[str] = set()
-    todo = [select]
+    todo = [select, before]
     while todo:
         text = todo.pop()
         for name in {*CTES, "scan"} - needed:
@@ -161,4 +192,5 @@ def query(select: str) -> str:
             parts.append(SCAN.strip())
         if name in needed:
             parts.append(f"{name} AS ({CTES[name]}\n)")
-    return (f"WITH {'RECURSIVE ' if 'scan' in needed else ''}" + ",\n".join(parts) + "\n" if parts else "") + select.strip()
+    parts += [before] * bool(before)
+    return (f"WITH {'RECURSIVE ' if 'scan' in needed or before else ''}" + ",\n".join(parts) + "\n" if parts else "") + select.strip()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -24,6 +25,22 @@ def local_session(app: str = "tracegrain", cores: str = "*", **conf: str) -> Spa
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``; a local one only where all runs on one machine."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    held = spark.sparkContext.getCheckpointDir()
+    if held:
+        return held.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+    own = tempfile.mkdtemp(prefix="tracegrain-")
+    spark.sparkContext.setCheckpointDir(own)
+    return f"file://{own}"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package, once for each application."""
     context = spark.sparkContext

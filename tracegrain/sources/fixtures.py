@@ -9,6 +9,7 @@ from ..functions.temporal import DAY_FIRST
 
 # The zone grid: 11 x 11 rectangles.
 ZONES, LAT0, LON0, DLAT, DLON = 11, 45.891, 14.29, 0.02, 0.03
+ZONE_IDS = [15 * i + j for i in range(ZONES) for j in range(ZONES)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
