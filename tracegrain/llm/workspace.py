@@ -9,33 +9,15 @@ place; on a cluster its absence is an error.
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship_package
+from ..session import shared_folder, ship_package
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local one is set only if none is."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if held:
-        return held.rstrip("/")
-    master = spark.sparkContext.master
-    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
-        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
-    own = tempfile.mkdtemp(prefix="tracegrain-")
-    spark.sparkContext.setCheckpointDir(own)
-    return f"file://{own}"
-
-
 def prepare(spark: SparkSession) -> None:
     """Ship the package and bound Arrow batches to 8 MB, unless the session sets a bound below Spark's 64 MB.
 
