@@ -62,3 +62,29 @@ def test_escape_leaves_no_mark(spark, text):
 
     row = spark.range(1).select(chat_format.escape(F.lit(text)).alias("e"), chat_format.unescape(chat_format.escape(F.lit(text))).alias("u")).first()
     assert "<" not in row.e and row.u == text
+
+
+def test_spans_over_pieces(spark):
+    from pyspark.sql import functions as F
+
+    from tracegrain.llm import arrays
+
+    text = "é🎉\n\r x" * 200
+    spans = [(0, 0), (0, 1), (255, 257), (256, 512), (511, 512), (3, 1200), (1200, 1200), (700, 700)]
+    df = spark.createDataFrame([(text, s, e) for s, e in spans], "t string, s long, e long").withColumn("p", arrays.pieces(F.col("t")))
+    assert [r.x for r in df.select(arrays.between(F.col("p"), F.col("s"), F.col("e")).alias("x")).collect()] == [text[s:e] for s, e in spans]
+    assert spark.range(1).select(arrays.between(arrays.pieces(F.lit("")), F.lit(0), F.lit(0)).alias("x")).first().x == ""
+
+
+def test_prefixes(spark):
+    from pyspark.sql import functions as F
+
+    from tracegrain.llm import arrays
+
+    values = [(i * 7919) % 1000 for i in range(1030)]
+    for rows in (values, values[:256], values[:1], []):
+        df = spark.createDataFrame([(rows,)], "v array<long>")
+        df = arrays.with_prefix(arrays.with_prefix(df, "sum", "v"), "most", "v", arrays.largest)
+        got = df.first()
+        assert got["sum"] == [sum(rows[:i]) for i in range(len(rows))]
+        assert got["most"] == [max(rows[:i], default=0) for i in range(len(rows))]

@@ -17,7 +17,8 @@ Defined results: a null text is empty; a null role is the empty role; rows that
 share a turn number are ordered by role, then text; a null turn comes first;
 repeated rows are kept; an empty table gives an empty table; other columns of
 the input are ignored. One conversation becomes one row, since its formatted
-text is one value; offsets within it are computed in linear time.
+text is one value; offsets within it are computed, and its spans read, in
+linear time.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import chunk_starts, chunk_sums, offsets, total
+from . import arrays
+from .arrays import total, with_prefix
 
 OPEN, CLOSE, JOIN = "<turn:", "</turn>\n", "<join>"
 
@@ -114,11 +116,8 @@ def format_conversations(
         F.col("_pieces"),
         lambda p: (F.length(p["before"]) + F.length(p["text"]) + F.length(p["after"])).cast("long"),
     )
-    # Each array that a lambda reads is also an output, so that it is computed once and not per element.
     sized = pieces.select("_conv", "_pieces", lengths.alias("_lengths"))
-    sized = sized.select("*", chunk_sums(F.col("_lengths")).alias("_sums"))
-    sized = sized.select("*", chunk_starts(F.col("_sums")).alias("_chunks"))
-    sized = sized.select("*", offsets(F.col("_lengths"), F.col("_chunks")).alias("_at"))
+    sized = with_prefix(sized, "_at", "_lengths")
     spans = F.transform(
         F.col("_pieces"),
         lambda p, i: F.struct(
@@ -158,15 +157,15 @@ def parse_conversations(formatted: DataFrame, conv: str = "conv_id") -> DataFram
             ),
         )
     )
-    return formatted.select(conv, "formatted", "loss_spans", parts.alias("_parts")).select(
+    cut = formatted.select(
+        conv, "formatted", "loss_spans", parts.alias("_parts"), arrays.pieces(F.col("formatted")).alias("_pieces")
+    )
+    return cut.select(
         conv,
         "formatted",
         turns.alias("turns"),
         F.transform(
-            F.col("loss_spans"),
-            lambda s: unescape(
-                F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
-            ),
+            F.col("loss_spans"), lambda s: unescape(arrays.between(F.col("_pieces"), s["start"], s["end"]))
         ).alias("loss_texts"),
     )
 
