@@ -57,6 +57,11 @@ def with_prefix(df: DataFrame, name: str, values: str, fold=total) -> DataFrame:
     return df.select("*", offsets(F.col(values), F.col("_chunks"), fold).alias(name)).drop("_sums", "_chunks")
 
 
+def element(values: Column, i: Column) -> Column:
+    """The element ``i`` of an array that is a column of its own (see :func:`_place`)."""
+    return F.get(values, F.least(i, F.size(values) - 1))
+
+
 def pieces(text: Column) -> Column:
     """A text cut into pieces of equal length, so that :func:`between` needs not read it from its start."""
     return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))

@@ -13,7 +13,8 @@ run's character class (digits-only runs have none). The allow-list holds words,
 joined by separators or as capitalised parts, but no letters in mixed order. Counts are kept incrementally: a step of the fold
 adds the entering character and takes out the leaving one, which changes two
 terms of the sum. Allow-listed runs and runs that base spans cover entirely are
-left out; a run that reaches beyond them is scored whole and added.
+left out; a run that reaches beyond them is scored whole and added. Covered runs
+and masks are found by prefix maxima of the spans' ends, in linear time.
 
 Positions are code points; they follow from splitting the text at the matches
 and summing lengths, so a text is scanned in linear time, whole, on the JVM.
@@ -28,7 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import chunk_starts, chunk_sums, offsets
+from . import arrays
+from .arrays import largest, with_prefix
 
 #: The base patterns.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -133,9 +135,7 @@ def _with_matches(df: DataFrame, name: str, pattern: str, group: int | None, lea
         "*",
         F.transform(F.col("_whole"), lambda m, i: (F.length(F.get(F.col("_between"), i)) + F.length(m)).cast("long")).alias("_lengths"),
     )
-    df = df.select("*", chunk_sums(F.col("_lengths")).alias("_sums"))
-    df = df.select("*", chunk_starts(F.col("_sums")).alias("_chunks"))
-    df = df.select("*", offsets(F.col("_lengths"), F.col("_chunks")).alias("_at"))
+    df = with_prefix(df, "_at", "_lengths")
     spans = F.transform(
         F.col("_whole"),
         lambda m, i: F.struct(
@@ -149,16 +149,42 @@ def _with_matches(df: DataFrame, name: str, pattern: str, group: int | None, lea
         F.filter(spans, lambda s: s["size"] >= least),
         lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["run"].alias("run")),
     )
-    return df.select("*", kept.alias(name)).drop("_whole", "_between", "_part", "_lengths", "_sums", "_chunks", "_at")
+    return df.select("*", kept.alias(name)).drop("_whole", "_between", "_part", "_lengths", "_at")
 
 
-def _covered(run: Column) -> Column:
-    """Whether the spans of ``_base``, sorted by start, together cover all of a run."""
-    overlap = F.exists(F.col("_base"), lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
-    reached = F.aggregate(
-        F.col("_base"), run["start"], lambda at, b: F.when((b["start"] <= at) & (b["end"] > at), b["end"]).otherwise(at)
+def _with_uncovered(df: DataFrame, name: str) -> DataFrame:
+    """Add the array ``name``: the ``_runs`` that the spans of ``_base``, sorted by start, do not cover entirely.
+
+    Spans that overlap or touch are merged; a run is covered if it lies in one
+    of the merged ones, which can only be the last that starts no later.
+    """
+    df = df.select("*", F.transform("_base", lambda b: b["end"]).alias("_ends"))
+    df = with_prefix(df, "_reach", "_ends", largest)
+    heads = F.filter(
+        F.transform(
+            F.col("_base"), lambda b, i: F.struct(b["start"].alias("start"), arrays.element(F.col("_reach"), i).alias("reach"), i.alias("i"))
+        ),
+        lambda h: (h["i"] == 0) | (h["start"] > h["reach"]),
+    )
+    end = F.struct(F.lit(None).cast("long").alias("start"), largest(F.col("_ends")).alias("reach"), F.lit(None).cast("int").alias("i"))
+    df = df.select("*", F.concat(heads, F.array(end)).alias("_heads"))
+    merged = F.transform(
+        F.slice(F.col("_heads"), F.lit(1), F.size("_heads") - 1),
+        lambda h, k: F.struct(
+            h["start"].alias("start"),
+            F.lit(0).alias("order"),
+            F.get(F.col("_heads"), k + 1)["reach"].alias("end"),
+            F.lit(None).cast("string").alias("run"),
+        ),
     )
-    return overlap & (reached >= run["end"])
+    runs = F.transform(
+        F.col("_runs"), lambda r: F.struct(r["start"].alias("start"), F.lit(1).alias("order"), r["end"].alias("end"), r["run"].alias("run"))
+    )
+    df = df.select("*", F.sort_array(F.concat(merged, runs)).alias("_sorted"))
+    df = df.select("*", F.transform("_sorted", lambda e: F.when(e["order"] == 0, e["end"]).otherwise(F.lit(0))).alias("_covers"))
+    df = with_prefix(df, "_cover", "_covers", largest)
+    rest = F.filter(F.col("_sorted"), lambda e, i: (e["order"] == 1) & (e["end"] > arrays.element(F.col("_cover"), i)))
+    return df.select("*", rest.alias(name)).drop("_ends", "_reach", "_heads", "_sorted", "_covers", "_cover")
 
 
 def scan_secrets(df: DataFrame, text: str = "text") -> DataFrame:
@@ -173,11 +199,8 @@ def scan_secrets(df: DataFrame, text: str = "text") -> DataFrame:
     out = _with_matches(out, "_runs", CANDIDATE, None, WINDOW)
     base = F.sort_array(F.concat("_assign", "_access", "_hex"))
     out = out.select("*", base.alias("_base"))
-    entropy = F.filter(
-        F.col("_runs"),
-        lambda r: ~_covered(r) & is_random(r["run"]),
-    )
-    out = out.select("*", entropy.alias("_entropy"))
+    out = _with_uncovered(out, "_rest")
+    out = out.select("*", F.filter(F.col("_rest"), lambda r: is_random(r["run"])).alias("_entropy"))
     tag = lambda name, rank: F.transform(
         F.col(f"_{name}"),
         lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(name).alias("kind"), s["end"].alias("end")),
@@ -200,26 +223,23 @@ def count_kind(kind: str) -> Column:
 
 def redact(df: DataFrame, text: str = "text", mask: str = "[secret]") -> DataFrame:
     """Replace what ``secrets`` spans cover in ``text``; overlapping spans become one mask."""
-    spans = F.col("secrets")
-    # A span is the first of its overlapping run if no earlier one reaches it; the texts between runs stay.
-    merged = F.aggregate(
-        spans,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts")),
-        lambda acc, s: F.when(
-            s["start"] >= acc["at"],
-            F.struct(
-                s["end"].alias("at"),
-                F.concat(
-                    acc["parts"],
-                    F.array(
-                        F.concat(
-                            F.substr(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
-                            F.lit(mask),
-                        )
-                    ),
-                ).alias("parts"),
-            ),
-        ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts"))),
-        lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substr(F.col(text), (acc["at"] + 1).cast("int"))),
+    out = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{text}`").alias("_text"), F.col("secrets").alias("_spans")
+    )
+    out = out.select(
+        "*",
+        F.transform("_spans", lambda s: s["end"]).alias("_ends"),
+        F.when(F.size("_spans") > 0, arrays.pieces(F.col("_text"))).otherwise(F.array().cast("array<string>")).alias("_pieces"),
+    )
+    out = with_prefix(out, "_reach", "_ends", largest)
+    # A span is the first of its overlapping group if no earlier one reaches it; the texts between groups stay.
+    parts = F.transform(
+        F.col("_spans"),
+        lambda s, i: F.when(
+            s["start"] >= arrays.element(F.col("_reach"), i),
+            F.concat(arrays.between(F.col("_pieces"), arrays.element(F.col("_reach"), i), s["start"]), F.lit(mask)),
+        ).otherwise(F.lit("")),
     )
-    return df.withColumn(text, F.when(F.size(spans) > 0, merged).otherwise(F.col(text)))
+    rest = arrays.between(F.col("_pieces"), largest(F.col("_ends")), F.length("_text").cast("long"))
+    masked = F.when(F.size("_spans") > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(F.col("_text"))
+    return out.select(*[masked.alias(c) if c == text else F.col("_row")[c].alias(c) for c in df.columns])
