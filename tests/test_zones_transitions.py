@@ -115,6 +115,43 @@ def test_dbscan_against_all_pairs():
     assert clustering.haversine_labels(lat, lon, eps, 5).tolist() == want.tolist()
 
 
+def test_dbscan_of_dense_places_compares_few(monkeypatch):
+    rng = np.random.default_rng(3)
+    exact, seen = clustering._haversine_rad, []
+
+    def counted(*a):
+        seen.append(np.broadcast(*a).size)
+        return exact(*a)
+
+    monkeypatch.setattr(clustering, "_haversine_rad", counted)
+    lat, lon = 46 + rng.random(6000) * 0.02, 14 + rng.random(6000) * 0.03
+    assert set(clustering.haversine_labels(lat, lon, 0.0009, 5)) == {0}
+    apart = np.concatenate([lat, lat + 0.02 + np.degrees(0.0001001)])  # two blocks, just too far from each other
+    assert np.bincount(clustering.haversine_labels(apart, np.tile(lon, 2), 0.0001, 5)).tolist() == [6000, 6000]
+    assert sum(seen) < 200 * len(lat)  # its square is 36 000 000
+
+
+def test_dbscan_over_date_line_pole_and_copies():
+    rng = np.random.default_rng(4)
+    for k, (y, x) in enumerate([(0, 180), (89.99, 0), (-89.99, 90), (46, 14)] * 6):
+        lat, lon = np.minimum(y + rng.normal(0, 0.05, 200), 90), (x + rng.normal(0, 0.05, 200) + 180) % 360 - 180
+        if k % 2:
+            lat, lon = lat.round(2), lon.round(2)
+        lat[7] = np.nan
+        near = clustering._haversine_rad(*[np.radians(v) for v in (lat[:, None], lon[:, None], lat[None], lon[None])]) <= 0.0003
+        want = clustering._labels(200, lambda i: np.flatnonzero(near[i]), 5)  # noqa: B023
+        assert clustering.haversine_labels(lat, lon, 0.0003, 5).tolist() == want.tolist()
+
+
+def test_dbscan_of_a_table_with_copies_and_nulls(spark):
+    rows = [(i, 1, 46.0, 14.0) for i in range(5, 9)] + [(4, 1, 46.01, 14.0), (3, 1, 50.0, 14.0), (2, 1, None, 14.0), (1, 1, float("nan"), 14.0), (9, None, 46.0, 14.0)]
+    rows += [(i, None, 0.0, 0.0) for i in range(10, 13)] + [(i, None, -0.0, 0.0) for i in range(13, 15)]
+    got = clustering.dbscan(spark.createDataFrame(rows, "ping_id long, zone_id int, lat double, lon double"), keys=("zone_id",))
+    assert got.columns == ["ping_id", "zone_id", "lat", "lon", "cluster"]
+    assert {r.ping_id: r.cluster for r in got.collect()} == {1: -1, 2: -1, 3: -1, 9: -1} | {i: 0 for i in (*range(4, 9), *range(10, 15))}
+    assert got.where("zone_id IS NULL").count() == 6
+
+
 def test_spectral_finds_planted_blocks():
     rng = np.random.default_rng(1)
     block = np.repeat([0, 1, 2], 12)

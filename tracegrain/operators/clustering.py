@@ -7,7 +7,7 @@ neighbours found by grid cells, not by all pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -57,18 +57,165 @@ def _haversine_rad(lat1, lon1, lat2, lon2):
     return 2 * np.arcsin(np.sqrt(np.minimum(a, 1)))
 
 
-def haversine_labels(lat: np.ndarray, lon: np.ndarray, eps_rad: float, least: int) -> np.ndarray:
-    """DBSCAN on the sphere (coordinates in degrees, ``eps_rad`` in radians)."""
-    lat, lon = np.radians(lat), np.radians(lon)
-    wide = eps_rad / max(math.cos(min(np.abs(lat).max(initial=0.0) + eps_rad, 1.5)), 1e-3)
-    keys = np.column_stack([np.floor(lat / eps_rad), np.floor(lon / wide)]).astype(int)
-    cells = _cells(keys)
+def _pairs(lo: np.ndarray, hi: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of ``lo``, ``hi`` and the places in their ranges, about ``most`` at once."""
+    size = np.maximum(hi - lo, 0)
+    end = np.cumsum(size)
+    start = 0
+    while start < len(size):
+        held = end[start] - size[start]
+        stop = max(start + 1, int(np.searchsorted(end, held + most, "right")))
+        n = size[start:stop]
+        row = np.repeat(np.arange(start, stop), n)
+        yield row, np.arange(held, end[stop - 1]) - np.repeat(end[start:stop] - n - lo[start:stop], n)
+        start = stop
+
+
+def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Components of ``root`` after the edges (a, b); each has its least member as root."""
+    while len(a := root[a]) and (differ := a != (b := root[b])).any():
+        a, b = a[differ], b[differ]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def _columns(cell: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For cells (x, y, z) in lexicographic order: the ranges of cells at most two away, for one (x, y) column after another."""
+    wide = int(cell.max(initial=0)) + 5
+    xs, x = np.unique(cell[:, 0], return_inverse=True)
+    flat = x * wide + cell[:, 1]
+    columns, column = np.unique(flat, return_inverse=True)
+    deep = column * wide + cell[:, 2]
+
+    def rank(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+        return at, values[at] == wanted
+
+    for dx in range(-2, 3):
+        at_x, has_x = rank(xs, cell[:, 0] + dx)
+        for dy in range(-2, 3):
+            at, has = rank(columns, at_x * wide + cell[:, 1] + dy)
+            low = at * wide + cell[:, 2]
+            lo, hi = np.searchsorted(deep, low - 2), np.searchsorted(deep, low + 2, "right")
+            yield lo, np.where(has_x & has, hi, lo)
+
+
+def _any_near(a: np.ndarray, b: np.ndarray, lat: np.ndarray, lon: np.ndarray, xyz: np.ndarray, eps_rad: float, chord: float) -> bool:
+    """Whether a place of ``a`` is near one of ``b``: both are halved as long as their boxes are near."""
+    todo = [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        va, vb = xyz[a], xyz[b]
+        (la, ha), (lb, hb) = (va.min(axis=0), va.max(axis=0)), (vb.min(axis=0), vb.max(axis=0))
+        if np.sqrt((np.maximum(np.maximum(lb - ha, la - hb), 0) ** 2).sum()) > chord * (1 + 1e-4):
+            continue
+        few = len(a) * len(b) <= 4096
+        i, j = (a[:, None], b[None]) if few else (a[:1], b[:1])
+        if (_haversine_rad(lat[i], lon[i], lat[j], lon[j]) <= eps_rad).any():
+            return True
+        if few:
+            continue
+        swap = len(b) > 1 and (len(a) == 1 or (hb - lb).max() > (ha - la).max())
+        cut, other, v, extent = (b, a, vb, hb - lb) if swap else (a, b, va, ha - la)
+        order = np.argpartition(v[:, extent.argmax()], len(cut) // 2)
+        todo += [(other, cut[h]) if swap else (cut[h], other) for h in (order[: len(cut) // 2], order[len(cut) // 2 :])]
+    return False
+
+
+def place_labels(lat: np.ndarray, lon: np.ndarray, times: np.ndarray, eps_rad: float, least: int) -> np.ndarray:
+    """DBSCAN on the sphere of distinct places, each with so many points; -1 is noise.
+
+    Clusters are numbered by their first core place, and a border place is of its
+    first cluster. Places (in degrees, ``eps_rad`` in radians) that are not finite
+    are noise. The same labels as by all pairs, in about linear time however dense
+    the places are: they lie in cubes whose places are all near each other, so the
+    places of a cube with ``least`` points are core without a comparison, the few
+    of any other cube meet the cubes around, and of two cubes it is only asked
+    whether any of their core places are near.
+    """
+    if eps_rad < 1e-11:
+        raise ValueError("eps_rad is less than coordinates tell apart")
+    label = np.full(len(lat), -1)
+    finite = np.flatnonzero(np.isfinite(lat) & np.isfinite(lon))
+    if not len(finite):
+        return label
+    lat, lon = np.radians(lat[finite]), np.radians(lon[finite])
+    xyz = np.column_stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)])
+    chord = 2 * math.sin(min(eps_rad, math.pi) / 2)
+    # The margin is for rounding: places of a cube are near, and no near place is more than two cubes away.
+    cube = np.floor((xyz + 2) / (chord / math.sqrt(3) * (1 - 1e-4))).astype(np.int64)
+    cube -= cube.min(axis=0) - 2
+    order = np.lexsort(cube.T[::-1])
+    finite, lat, lon, xyz, cube, times = finite[order], lat[order], lon[order], xyz[order], cube[order], times[finite][order]
+    fresh = np.concatenate([[True], (cube[1:] != cube[:-1]).any(axis=1)])
+    of, start = np.cumsum(fresh) - 1, np.append(np.flatnonzero(fresh), len(lat))
+    around = list(_columns(cube[start[:-1]]))
+
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return _haversine_rad(lat[i], lon[i], lat[j], lon[j]) <= eps_rad
+
+    core = (np.add.reduceat(times, start[:-1]) >= least)[of]
+    light = np.flatnonzero(~core)
+    points = np.zeros(len(light), dtype=np.int64)
+    for lo, hi in around:
+        for row, j in _pairs(start[lo[of[light]]], start[hi[of[light]]]):
+            ok = near(light[row], j)
+            np.add.at(points, row[ok], times[j[ok]])
+    core[light] = points >= least
+
+    cores = np.flatnonzero(core)
+    bounds = np.searchsorted(cores, start)  # a cube's core places are a range of cores
+    size, root = np.diff(bounds), np.arange(len(start) - 1)
+    many = []
+    for lo, hi in around:
+        for a, b in _pairs(np.where(size > 0, lo, 0), np.where(size > 0, hi, 0)):
+            keep = (a < b) & (size[b] > 0)
+            a, b = a[keep], b[keep]
+            _merge(root, *(x[near(cores[bounds[a]], cores[bounds[b]])] for x in (a, b)))
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+            big = size[a] * size[b] > 256
+            many.append(np.column_stack([a[big], b[big]]))
+            a, b = a[~big], b[~big]
+            for edge, i in _pairs(bounds[a], bounds[a + 1], 1 << 16):
+                for row, j in _pairs(bounds[b[edge]], bounds[b[edge] + 1]):
+                    ok = edge[row[near(cores[i[row]], cores[j])]]
+                    _merge(root, a[ok], b[ok])
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = int(root[root[x]])
+        return x
+
+    for a, b in np.concatenate(many).tolist():
+        if top(a) != top(b) and _any_near(cores[bounds[a] : bounds[a + 1]], cores[bounds[b] : bounds[b + 1]], lat, lon, xyz, eps_rad, chord):
+            root[max(top(a), top(b))] = min(top(a), top(b))
+    while (root[root] != root).any():
+        root = root[root]
+
+    cluster = np.full(len(lat), len(lat))
+    first = np.full(len(start) - 1, len(label))
+    np.minimum.at(first, root[of[cores]], finite[cores])
+    numbers = np.empty(len(first), dtype=np.int64)
+    numbers[np.argsort(first, kind="stable")] = np.arange(len(first))
+    cluster[cores] = numbers[root[of[cores]]]
+    edge = np.flatnonzero(~core)
+    for lo, hi in around:
+        for row, j in _pairs(start[lo[of[edge]]], start[hi[of[edge]]]):
+            ok = core[j] & near(edge[row], j)
+            np.minimum.at(cluster, edge[row[ok]], cluster[j[ok]])
+    label[finite] = np.where(cluster < len(lat), cluster, -1)
+    return label
 
-    def near(i: int) -> np.ndarray:
-        c = _around(cells, tuple(keys[i]))
-        return c[_haversine_rad(lat[i], lon[i], lat[c], lon[c]) <= eps_rad]
 
-    return _labels(len(lat), near, least)
+def haversine_labels(lat: np.ndarray, lon: np.ndarray, eps_rad: float, least: int) -> np.ndarray:
+    """DBSCAN on the sphere (coordinates in degrees, ``eps_rad`` in radians): points of one place have one label."""
+    _, first, back, times = np.unique(np.column_stack([lat, lon]), axis=0, return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(first)
+    label = np.empty(len(first), dtype=int)
+    label[order] = place_labels(lat[first[order]], lon[first[order]], times[order], eps_rad, least)
+    return label[back.reshape(-1)]
 
 
 def haversine_matrix(pings: DataFrame, keys: tuple[str, ...] = ("day", "deviceid")) -> DataFrame:
@@ -83,14 +230,26 @@ def haversine_matrix(pings: DataFrame, keys: tuple[str, ...] = ("day", "deviceid
 
 
 def dbscan(pings: DataFrame, eps_rad: float = 0.001, least: int = 5, keys: tuple[str, ...] = ("day", "deviceid")) -> DataFrame:
-    """Adds ``cluster``: DBSCAN of each group's coordinates; -1 is noise."""
+    """Adds ``cluster``: DBSCAN of each group's coordinates; -1 is noise (as are pings without coordinates).
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ping_id")
-        return group.assign(cluster=haversine_labels(group["lat"].to_numpy(), group["lon"].to_numpy(), eps_rad, least).astype("int32"))
+    Pings at one place have one label, so a group's task holds its distinct places
+    with their numbers of pings, and the pings meet the labels by a join.
+    """
+    place = ["lat", "lon"]
+    somewhere = pings.where(F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon"))
+    places = somewhere.groupBy(*keys, *place).agg(F.count(F.lit(1)).alias("_n"), F.min("ping_id").alias("_first"))
+    names = {c: f"_{i}" for i, c in enumerate([*keys, *place])}
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in pings.dtypes) + ", cluster int"
-    return pings.groupBy(*keys).applyInPandas(run, schema)
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["_first", *place])
+        label = place_labels(group["lat"].to_numpy(), group["lon"].to_numpy(), group["_n"].to_numpy(), eps_rad, least)
+        return group[list(names)].rename(columns=names).assign(_cluster=label.astype("int32"))
+
+    kinds = dict(places.dtypes)
+    schema = ", ".join(f"`{n}` {kinds[c]}" for c, n in names.items()) + ", `_cluster` int"
+    found = places.groupBy(*keys).applyInPandas(run, schema)
+    same = [F.col(c).eqNullSafe(F.col(names[c])) if c in keys else F.col(c) == F.col(names[c]) for c in names]
+    return pings.join(found, same, "left").select(*pings.columns, F.coalesce("_cluster", F.lit(-1)).alias("cluster"))
 
 
 def dbscan_core(pings: DataFrame, eps_rad: float = 0.001, least: int = 5, keys: tuple[str, ...] = ("day", "deviceid")) -> DataFrame:
